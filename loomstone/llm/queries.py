@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from .decontam import OP8_SQL, op8_decontamination
+from .line_dedup import OP7_SQL, op7_line_dedup
 from .quality_rules import op3_quality_rules
 from .sharding import op10_sharding
+from .simhash import op9_simhash
 from .warc import op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_quality_rules": op3_quality_rules,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_decontamination": op8_decontamination,
+    "op9_simhash": op9_simhash,
     "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_dedup": OP7_SQL,
+    "op8_decontamination": OP8_SQL,
+}
