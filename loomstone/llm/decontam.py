@@ -88,8 +88,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     starts = [f"transform(array_distinct(flatten(transform(filter(sequence(0, n - {K}), i -> array_contains(prints, grams[i])), p -> sequence(greatest(p - {WINDOW - K}, 0), least(p, n - {WINDOW}))))), s -> struct(s as s, {WINDOW} as m))"]
     starts = [f"case when n >= {WINDOW} then {starts[0]} else cast(array() as array<struct<s:int,m:int>>) end"]
     starts += [f"case when n >= {m} then transform(filter(sequence(0, n - {m}), i -> array_contains(prints, xxhash64({m}, slice(wh, i + 1, {m})))), s -> struct(s as s, {m} as m)) else cast(array() as array<struct<s:int,m:int>>) end" for m in lengths]
-    tried = again.select("id", "key", "words", F.expr(f"concat({', '.join(starts)})").alias("starts"))
-    tried = tried.select("id", "key", "words", F.explode("starts").alias("at")).select("id", "key", "at", F.expr("array_join(slice(words, at.s + 1, at.m), ' ')").alias("window"))
+    # exploded as an expression: a filter on a named array would be pushed down and put into the lambdas
+    tried = again.select("id", "key", "words", F.explode(F.expr(f"concat({', '.join(starts)})")).alias("at")).select("id", "key", "at", F.expr("array_join(slice(words, at.s + 1, at.m), ' ')").alias("window"))
     sure = tried.join(_maybe_broadcast(windows, n_windows), "window")
     spans = sure.groupBy("id", "key").agg(F.collect_list("at").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = "cast(size(array_distinct(flatten(transform(spans, x -> sequence(x.s, x.s + x.m - 1))))) as bigint)"
