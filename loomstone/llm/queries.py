@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
 from .decontam import OP8_SQL, op8_decontamination
 from .line_dedup import OP7_SQL, op7_line_dedup
 from .quality_rules import op3_quality_rules
@@ -12,6 +13,7 @@ from .warc import op1_warc
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_quality_rules": op3_quality_rules,
+    "op4_bpe": op4_bpe,
     "op7_line_dedup": op7_line_dedup,
     "op8_decontamination": op8_decontamination,
     "op9_simhash": op9_simhash,
@@ -19,6 +21,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_bpe": op4_bpe,
     "op7_line_dedup": OP7_SQL,
     "op8_decontamination": OP8_SQL,
 }
