@@ -242,8 +242,8 @@ def public_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: its id and ``ids``, the token ids as little-endian unsigned 32-bit integers (binary).
+def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row: its id (and the columns ``keep``) and ``ids``, the token ids as little-endian unsigned 32-bit integers (binary).
 
     ``path`` is the rank file's place on every executor. No shuffle.
     """
@@ -253,28 +253,30 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         v = vocabulary(path, pattern)
         for batch in batches:
             ids = [v.encode_bytes(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=[id_col, "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(ids, pa.binary())], names=[id_col, *keep, "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {id_type(docs, id_col)}, ids binary")
+    schema = ", ".join([*(f"`{c}` {id_type(docs, c)}" for c in (id_col, *keep)), "ids binary"])
+    return docs.select(id_col, text_col, *keep).mapInArrow(run, schema)
 
 
-def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
-    """One row per row of ``encode_documents``: id, ids, and ``data``, the decoded bytes."""
+def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``encode_documents``: id (and ``keep``), ids, and ``data``, the decoded bytes."""
 
     def run(batches):
         v = vocabulary(path, pattern)
         for batch in batches:
             data = [v.decode(np.frombuffer(x.as_buffer(), dtype="<u4")) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=[id_col, "ids", "data"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], batch.column(1), pa.array(data, pa.binary())], names=[id_col, *keep, "ids", "data"])
 
-    return encoded.select(id_col, "ids").mapInArrow(run, f"{id_col} {id_type(encoded, id_col)}, ids binary, data binary")
+    schema = ", ".join([*(f"`{c}` {id_type(encoded, c)}" for c in (id_col, *keep)), "ids binary, data binary"])
+    return encoded.select(id_col, "ids", *keep).mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode; id, n_tokens and the SHA-256 of the ids and of the decoded bytes."""
-    out = decode_documents(encode_documents(docs, *public_vocabulary(), id_col, text_col), *public_vocabulary(), id_col)
-    return out.select(id_col, F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Encode and decode with the public vocabulary: id, ``keep``, ids, data, n_tokens and the SHA-256 of ids and data."""
+    out = decode_documents(encode_documents(docs, *public_vocabulary(), id_col, text_col, keep), *public_vocabulary(), id_col, keep)
+    return out.withColumns({"n_tokens": F.expr("octet_length(ids) div 4").cast("long"), "ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("data", 256)})
 
 
 def op4_bpe(spark, sf_dir) -> DataFrame:
-    return digests(load(spark, sf_dir, "documents"))
+    return round_trip(load(spark, sf_dir, "documents")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
