@@ -115,8 +115,11 @@ def apply_changes(versions: DataFrame, changes: DataFrame, applied: DataFrame |
     fresh = deduplicate(changes, applied)
     merged = winners(versions.select(*changes.columns).unionByName(fresh))
     won = merged.select("change_id").join(fresh.select("change_id"), "change_id", "left_semi")
-    counts = changes.agg(F.count(F.lit(1)).alias("n")).crossJoin(fresh.agg(F.count(F.lit(1)).alias("f"))).crossJoin(won.agg(F.count(F.lit(1)).alias("w")))  # one row each
-    report = counts.select(F.inline(F.array(F.struct(F.lit("applied").alias("decision"), F.col("w").alias("n")), F.struct(F.lit("ignored"), F.col("f") - F.col("w")), F.struct(F.lit("duplicate"), F.col("n") - F.col("f")))))
+    one = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+    counts = one(changes, "all").union(one(fresh, "fresh")).union(one(won, "won"))
+    of = {k: F.sum(F.when(F.col("kind") == k, F.col("n"))) for k in ("all", "fresh", "won")}
+    decided = [("applied", of["won"]), ("ignored", of["fresh"] - of["won"]), ("duplicate", of["all"] - of["fresh"])]
+    report = counts.agg(F.array(*(F.struct(F.lit(k).alias("decision"), n.alias("n")) for k, n in decided)).alias("r")).select(F.inline("r"))
     return merged, report
 
 
