@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import functions
@@ -11,6 +15,33 @@ from .plans import dialect, script
 from .plans.lexer import DialectError, statements
 
 
+def _tables(engine) -> DataFrame:
+    return engine.spark.createDataFrame([(n, i, "dbo", "BASE TABLE", "U") for i, n in enumerate(engine.names(), 1)], "name string, object_id int, schema_name string, table_type string, type string")
+
+
+def _columns(engine) -> DataFrame:
+    rows = [(n, i, f.name, k, f.dataType.simpleString(), f.nullable) for i, n in enumerate(engine.names(), 1) for k, f in enumerate(engine.frame(n).schema.fields, 1)]
+    return engine.spark.createDataFrame(rows, "table_name string, object_id int, name string, column_id int, type_name string, is_nullable boolean")
+
+
+#: Catalog sources by the names that queries give them.
+CATALOG = {
+    "information_schema.tables": lambda e: _tables(e).selectExpr("schema_name AS TABLE_SCHEMA", "name AS TABLE_NAME", "table_type AS TABLE_TYPE"),
+    "information_schema.columns": lambda e: _columns(e).selectExpr("table_name AS TABLE_NAME", "name AS COLUMN_NAME", "column_id AS ORDINAL_POSITION", "type_name AS DATA_TYPE", "if(is_nullable, 'YES', 'NO') AS IS_NULLABLE"),
+    "sys.tables": _tables,
+    "sys.objects": _tables,
+    "sys.columns": _columns,
+    "sys.schemas": lambda e: e.spark.createDataFrame([("dbo", 1)], "name string, schema_id int"),
+}
+
+
+class Migration(NamedTuple):
+    """A step of a schema's history."""
+
+    version: int
+    script: str
+
+
 class Engine:
     """Named DataFrames as tables of a session.
 
@@ -75,9 +106,20 @@ class Engine:
 
     # ---- queries
 
+    def _catalog(self, text: str) -> str:
+        """Registers the catalog views that a text names, and names them in a way that Spark reads."""
+        low = text.lower()
+        for name, make in CATALOG.items():
+            if name in low:
+                view = "catalog_" + name.replace(".", "_")
+                make(self).createOrReplaceTempView(view)
+                text = re.sub(rf"(?i)\b{re.escape(name)}\b", view, text)
+        return text
+
     def sql(self, text: str, dialect_name: str | None = None, params: dict | None = None) -> DataFrame:
         """One query of a dialect; parameters are Python values by name (``@x``, ``:x``)."""
         values = {k: script.literal(v) for k, v in (params or {}).items()}
+        text = self._catalog(text)
         return self.spark.sql(dialect.translate(text, dialect_name or self.default_dialect, values))
 
     def query(self, text: str, dialect_name: str | None = None, params: dict | None = None, max_rows: int = 10_000) -> list[dict]:
@@ -99,3 +141,21 @@ class Engine:
             for k, df in before.items():
                 self.replace(k, df)
             raise
+
+    def migrate(self, steps: list[Migration], applied: dict[int, str] | None = None, dialect_name: str | None = None) -> dict[int, str]:
+        """Run the steps that were not applied yet, all or none; returns version to checksum of all applied.
+
+        Versions must rise, and a step that was applied must not have changed since.
+        """
+        done = dict(applied or {})
+        if [s.version for s in steps] != sorted({s.version for s in steps}):
+            raise DialectError("versions of migrations must rise")
+        sums = {s.version: hashlib.sha256(s.script.encode()).hexdigest() for s in steps}
+        if drift := [v for v, c in done.items() if sums.get(v, c) != c]:
+            raise DialectError(f"migrations {drift} have changed since they were applied")
+        pending = [s for s in steps if s.version not in done]
+        if pending and done and pending[0].version < max(done):
+            raise DialectError(f"migration {pending[0].version} is older than one that was applied")
+        if pending:
+            self.run(";\n".join(s.script for s in pending), dialect_name)
+        return done | {s.version: sums[s.version] for s in pending}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import functions as fn
 from .operators import mutations, relational
 from .plans.dialect import translate
+from .sources import files
 from .streaming import changes, windows
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "documents")
@@ -233,3 +234,38 @@ frame("lww_winners", "SELECT row_id, operation, ms FROM (SELECT CAST(user_id AS
 frame("change_capture", "SELECT CAST(c_custkey AS VARCHAR) AS row_id, CASE WHEN c_custkey % 7 = 0 THEN 'delete' ELSE 'upsert' END AS operation FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 5 = 0")(lambda read: changes.capture(read("customer").select("c_custkey", "c_acctbal"), read("customer").filter("c_custkey % 7 <> 0").select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")).alias("c_acctbal")), "c_custkey", "customer").select("row_id", "operation"))
 frame("tumbling_window", "SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS w, event_type, count(*) AS n FROM events GROUP BY 1, 2")(lambda read: windows.tumbling(read("events"), "ts", "1 hour", ["event_type"], [F.count(F.lit(1)).alias("n")]).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("w"), "event_type", "n"))
 frame("session_window", "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s FROM events), k AS (SELECT user_id, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, n FROM (SELECT user_id, k, count(*) AS n FROM k GROUP BY 1, 2)")(lambda read: windows.sessions(read("events"), "ts", "6 hours", ["user_id"], [F.count(F.lit(1)).alias("n")]).select("user_id", "n"))
+
+# ---- further changes, capture, windows and sources
+
+frame("merge_output", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'DELETE' WHEN s_suppkey % 3 = 1 THEN 'UPDATE' END AS merge_action FROM supplier")(
+    lambda read: mutations.merge(read("supplier"), read("supplier").filter("s_suppkey % 3 < 2"), ["s_suppkey"], [mutations.When("matched", "delete", condition="t.s_suppkey % 3 = 0"), mutations.When("matched", "update", {"s_acctbal": "0.0D"})], with_action=True).select("s_suppkey", "merge_action")
+)
+frame("delete_top", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM customer ORDER BY c_acctbal, c_custkey LIMIT 10)")(lambda read: mutations.delete_top(read("customer"), 10, ["c_acctbal", "c_custkey"], "c_custkey").select("c_custkey"))
+frame("insert_select", "SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT r_regionkey + 1000, NULL FROM region")(lambda read: mutations.insert(read("nation").selectExpr("n_nationkey AS id", "n_name AS name"), read("region").selectExpr("r_regionkey + 1000 AS id")))
+frame("insert_if_absent", "SELECT c_custkey, c_acctbal FROM customer")(lambda read: mutations.upsert(read("customer").select("c_custkey", "c_acctbal"), read("customer").select("c_custkey", F.lit(0.0).alias("c_acctbal")), ["c_custkey"], nothing=True))
+frame("constraint_violations", "SELECT 'unique(o_custkey)' AS rule, count(*) AS n FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'check rich', count(*) FROM orders WHERE NOT o_totalprice > 10000 HAVING count(*) > 0 UNION ALL SELECT 'references o_custkey', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")(
+    lambda read: mutations.violations(read("orders"), unique=[["o_custkey"]], not_null=["o_orderkey"], checks={"rich": "o_totalprice > 10000"}, references={"o_custkey": (read("customer").filter("c_custkey % 2 = 0"), "c_custkey")})
+)
+
+
+def _same_content(read):
+    """The changes of which rows of one id are one change, sent more than once."""
+    c = _changes(read)
+    w = Window.partitionBy("change_id")
+    return c.select("seq", "change_id", "table", F.min("row_id").over(w).alias("row_id"), F.min("operation").over(w).alias("operation"), F.min("payload").over(w).alias("payload"), F.min("hlc").over(w).alias("hlc"), "device_id", "created_at_ms")
+
+
+frame("change_report", "WITH d AS (SELECT event_id - event_id % 50 % 2 AS cid, min(CAST(user_id AS VARCHAR)) AS row_id FROM events GROUP BY 1), w AS (SELECT count(DISTINCT row_id) AS n FROM d) SELECT 'applied' AS decision, (SELECT n FROM w) AS n UNION ALL SELECT 'ignored', (SELECT count(*) FROM d) - (SELECT n FROM w) UNION ALL SELECT 'duplicate', (SELECT count(*) FROM events) - (SELECT count(*) FROM d)")(
+    lambda read: changes.apply_changes(read("events").sparkSession.createDataFrame([], changes.SCHEMA), _same_content(read))[1]
+)
+frame("changes_after_cursor", "SELECT event_id AS seq FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 25")(lambda read: changes.after(_changes(read), 100, 25).select("seq"))
+frame("refused_changes", "SELECT 'from the future' AS reason, count(*) AS n FROM events WHERE epoch_us(ts) // 1000 > 1705190400000 + 86400000")(lambda read: changes.validate(_changes(read).withColumn("payload", F.coalesce("payload", F.lit("{}"))), 1705190400000)[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n")))
+frame("sliding_window", "SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS w, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS w FROM events) GROUP BY 1")(lambda read: windows.tumbling(read("events"), "ts", "1 hour", [], [F.count(F.lit(1)).alias("n")], slide="30 minutes").select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("w"), "n"))
+frame("hierarchy", "WITH RECURSIVE walk AS (SELECT n_nationkey AS node, 0 AS depth, n_nationkey AS root FROM nation WHERE n_nationkey < 3 UNION ALL SELECT n_nationkey, depth + 1, root FROM nation JOIN walk ON n_nationkey >= 3 AND n_nationkey // 3 = node) SELECT node, depth, root FROM walk")(
+    lambda read: relational.hierarchy(read("nation").select("n_nationkey", F.expr("case when n_nationkey >= 3 then n_nationkey div 3 end").alias("boss")), "n_nationkey", "boss")
+)
+frame("sql_dump", """SELECT 'INSERT INTO "region" ("r_regionkey", "r_name") VALUES (' || r_regionkey || ', ''' || r_name || ''');' AS value FROM region""")(lambda read: files.insert_statements(read("region"), "region"))
+text("openjson_pairs", "SELECT e.event_id, j.[key], j.value FROM events e CROSS APPLY OPENJSON(e.props) j", "SELECT event_id, k AS key, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
+text("cte_then_union_all", "WITH a AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 0) SELECT k FROM a UNION ALL SELECT k + 100 FROM a")
+text("using_join", "SELECT n_nationkey, n.n_name AS name FROM nation n JOIN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) m USING (n_nationkey)", dialect="postgres")
+frame("dedup_batch", "SELECT DISTINCT user_id, event_type FROM events")(lambda read: windows.deduplicated(read("events"), ["user_id", "event_type"], "ts", "1 hour").select("user_id", "event_type"))

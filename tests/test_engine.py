@@ -1,6 +1,6 @@
 import pytest
 
-from loomstone.engine import Engine
+from loomstone.engine import Engine, Migration
 from loomstone.plans.lexer import DialectError
 from loomstone.sources import files
 
@@ -68,3 +68,14 @@ def test_files(spark, tmp_path):
     assert "id = 1" in files.render(df, "line") and files.render(df, "csv").startswith("id,s,d\n")
     files.write_json(df, str(tmp_path / "j"))
     assert spark.read.json(str(tmp_path / "j")).count() == 2
+
+
+def test_catalog_and_migrations(spark):
+    e = Engine(spark, {"m1": spark.createDataFrame([(1, "a")], "id long, s string")})
+    assert e.query("SELECT COLUMN_NAME, DATA_TYPE FROM INFORMATION_SCHEMA.COLUMNS WHERE TABLE_NAME = 'm1' ORDER BY ORDINAL_POSITION") == [{"COLUMN_NAME": "id", "DATA_TYPE": "bigint"}, {"COLUMN_NAME": "s", "DATA_TYPE": "string"}]
+    assert e.query("SELECT name FROM sys.tables") == [{"name": "m1"}]
+    steps = [Migration(1, "CREATE TABLE m2 (id INT)"), Migration(2, "INSERT INTO m2 VALUES (4)")]
+    done = e.migrate(steps)
+    assert sorted(done) == [1, 2] and e.frame("m2").count() == 1 and e.migrate(steps, done) == done
+    with pytest.raises(DialectError):
+        e.migrate([Migration(1, "CREATE TABLE other (id INT)")], done)
