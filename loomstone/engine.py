@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import tempfile
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,8 +95,14 @@ class Engine:
         kind = type(schema)(fields)
         return self.spark.createDataFrame([tuple(r.get(f.name) for f in fields) for r in rows], kind)
 
+    def checkpointed(self, df: DataFrame) -> DataFrame:
+        """A copy in the shared checkpoint folder; where the session names none, in a temporary one."""
+        if self.spark.sparkContext.getCheckpointDir() is None:
+            self.spark.sparkContext.setCheckpointDir(self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomstone-"))
+        return df.checkpoint()
+
     def settle(self, name: str) -> None:
-        self.replace(name, self.frame(name).checkpoint())
+        self.replace(name, self.checkpointed(self.frame(name)))
 
     def save(self, name: str, path: str) -> None:
         self.frame(name).write.mode("errorifexists").parquet(path)

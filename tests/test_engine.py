@@ -79,3 +79,14 @@ def test_catalog_and_migrations(spark):
     assert sorted(done) == [1, 2] and e.frame("m2").count() == 1 and e.migrate(steps, done) == done
     with pytest.raises(DialectError):
         e.migrate([Migration(1, "CREATE TABLE other (id INT)")], done)
+
+
+def test_joined_changes(spark):
+    e = Engine(spark, {"acc": spark.createDataFrame([(1, 10), (2, 20), (3, 30), (3, 30)], "id long, v long"), "adj": spark.createDataFrame([(1, 5), (3, 7)], "id long, d long")})
+    e.run("UPDATE a SET a.v = a.v + j.d FROM acc a INNER JOIN adj j ON a.id = j.id WHERE j.d > 5")
+    assert sorted(map(tuple, e.frame("acc").collect())) == [(1, 10), (2, 20), (3, 37), (3, 37)]
+    e.run("UPDATE acc SET v = adj.d FROM acc JOIN adj ON acc.id = adj.id WHERE acc.id = 1")
+    e.run("DELETE TOP (1) FROM acc WHERE id = 3; DELETE a FROM acc AS a JOIN adj ON adj.id = a.id WHERE adj.d = 5")
+    assert sorted(map(tuple, e.frame("acc").collect())) == [(2, 20), (3, 37)]
+    e.run("DELETE FROM acc WHERE id IN (SELECT id FROM adj)")
+    assert [tuple(r) for r in e.frame("acc").collect()] == [(2, 20)]
