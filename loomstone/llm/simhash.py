@@ -91,14 +91,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {id_type(docs, id_col)}, fp long")
 
 
-def links(nodes: DataFrame, max_key: int = MAX_KEY) -> DataFrame:
-    """(a, b): links between the distinct fingerprints ``fp`` that suffice to connect all that are within two bits."""
+def links(nodes: DataFrame, max_key: int = MAX_KEY, made: list | None = None) -> DataFrame:
+    """(a, b): links between the distinct fingerprints ``fp`` that suffice to connect all that are within two bits.
+
+    Tables that it writes are added to ``made``, for the caller to drop once the links were read.
+    """
     parts = [[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p)).bitwiseAND(F.lit(_signed(q)))).cast("tinyint") for p in PIVOTS] for q in QUARTERS]
     keys = F.array(*(F.xxhash64(F.lit(i), *parts[a], *parts[b]) for i, (a, b) in enumerate(combinations(range(4), 2))))
     keyed = nodes.select("fp", F.explode(keys).alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = materialize(shared, "simhash-keys")
     found = materialize(keyed.join(shared, "key"), "simhash-candidates")
+    if made is not None:
+        made += [shared, found]
 
     pivots = "array(" + ", ".join(f"{p}L" if p != -(1 << 63) else "bigint('-9223372036854775808')" for p in PIVOTS) + ")"
     small = found.filter(F.col("n") <= max_key).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
@@ -121,7 +126,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         n, mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if not n or (n, mark) == before:
-            return now.withColumnsRenamed({"u": "node", "v": "root"})
+            out = now.withColumnsRenamed({"u": "node", "v": "root"})
+            out._loomstone_path = now._loomstone_path
+            return out
         before = (n, mark)
         # large star: each node's larger neighbours go to its least neighbour (or itself)
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -141,10 +148,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: id, fingerprint (16 hex digits), component_id (least id of the component)."""
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), max_key))
+    made = [nodes]
+    roots = components(links(nodes.select("fp"), max_key, made))
     classes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = materialize(classes.join(ids, "root").select(F.col("fp").alias("c_fp"), "component_id"), "classes")
+    for table in (*made, roots):
+        drop(table)
     out = rows.join(classes, rows.fp == classes.c_fp)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
