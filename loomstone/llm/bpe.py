@@ -17,18 +17,16 @@ columns are read.
 from __future__ import annotations
 
 import base64
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_type, load, small_batches
+from .common import by_bytes, id_type, load, small_batches, worker_model
 
-#: Pieces whose ids a worker keeps; beyond that the least recently filled table is dropped.
-CACHE_PIECES = 400_000
+#: Pieces whose ids a worker keeps; beyond that those not used lately are dropped.
+CACHE_PIECES = 600_000
 _LONG_PIECE = 256
 
 
@@ -43,6 +41,25 @@ def merge_pairs(data: bytes, ranks: dict[bytes, int]) -> tuple[bytes, ...]:
     return tuple(parts)
 
 
+class PieceCache(dict):
+    """Ids of pieces in two generations: when the young one is full the old one goes, so what is used stays."""
+
+    def __init__(self, make, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.pop(piece, None)
+        if ids is None:
+            ids = self.make(piece)
+        if len(piece) <= _LONG_PIECE:
+            if len(self) >= self.size // 2:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 def _substrings(data: bytes) -> set[bytes]:
     return {data[i:j] for i in range(len(data)) for j in range(i + 2, len(data) + 1)}
 
@@ -59,7 +76,7 @@ class Vocabulary:
         self._pairs: dict[tuple[bytes, bytes], bool] = {}
         self._splits: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._edges: tuple[dict, dict] = ({}, {})
-        self._pieces: dict[str, bytes] = {}
+        self._pieces = PieceCache(lambda p: np.array(self.encode_piece(p.encode()), dtype="<u4").tobytes(), CACHE_PIECES)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Vocabulary:
@@ -116,7 +133,7 @@ class Vocabulary:
                 i += 1
             else:
                 j += 1
-        if len(self._pairs) > 1_000_000:
+        if len(self._pairs) > 400_000:
             self._pairs.clear()
         self._pairs[a, b] = ok
         return ok
@@ -154,23 +171,8 @@ class Vocabulary:
         return np.frombuffer(self.encode_bytes(text), dtype="<u4")
 
     def encode_bytes(self, text: str | None) -> bytes:
-        pieces = self.pattern.findall(text or "")
         kept = self._pieces
-        try:
-            return b"".join([kept[p] for p in pieces])
-        except KeyError:
-            pass
-        out = []
-        for p in pieces:
-            ids = kept.get(p)
-            if ids is None:
-                ids = np.array(self.encode_piece(p.encode()), dtype="<u4").tobytes()
-                if len(p) <= _LONG_PIECE:
-                    if len(kept) >= CACHE_PIECES:
-                        kept.clear()
-                    kept[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join([kept[p] for p in self.pattern.findall(text or "")])
 
     def decode(self, ids) -> bytes:
         """Bytes of a sequence of ids."""
@@ -230,10 +232,9 @@ class PrefixTable:
         return out[::-1]
 
 
-@lru_cache(maxsize=2)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     """The vocabulary of a rank file, read once by each worker."""
-    return Vocabulary.load(path, pattern)
+    return worker_model(("bpe", path, pattern), lambda: Vocabulary.load(path, pattern))
 
 
 def public_vocabulary() -> tuple[str, str]:
@@ -251,7 +252,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     def run(batches):
         v = vocabulary(path, pattern)
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             ids = [v.encode_bytes(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(ids, pa.binary())], names=[id_col, *keep, "ids"])
 
@@ -272,9 +273,24 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
     return encoded.select(id_col, "ids", *keep).mapInArrow(run, schema)
 
 
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Both in one pass, so that a task needs one worker and one vocabulary: id, ``keep``, ids, data."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        v = vocabulary(path, pattern)
+        for batch in by_bytes(batches, 1):
+            ids = [v.encode_bytes(t) for t in batch.column(1).to_pylist()]
+            data = [v.decode(np.frombuffer(x, dtype="<u4")) for x in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(ids, pa.binary()), pa.array(data, pa.binary())], names=[id_col, *keep, "ids", "data"])
+
+    schema = ", ".join([*(f"`{c}` {id_type(docs, c)}" for c in (id_col, *keep)), "ids binary, data binary"])
+    return docs.select(id_col, text_col, *keep).mapInArrow(run, schema)
+
+
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Encode and decode with the public vocabulary: id, ``keep``, ids, data, n_tokens and the SHA-256 of ids and data."""
-    out = decode_documents(encode_documents(docs, *public_vocabulary(), id_col, text_col, keep), *public_vocabulary(), id_col, keep)
+    out = encode_and_decode(docs, *public_vocabulary(), id_col, text_col, keep)
     return out.withColumns({"n_tokens": F.expr("octet_length(ids) div 4").cast("long"), "ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("data", 256)})
 
 

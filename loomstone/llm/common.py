@@ -2,14 +2,49 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch handed to Python: bounds a worker's memory, as texts can be long.
+#: Rows of one Arrow batch handed to Python.
 ROWS_PER_BATCH = 1024
+#: Bytes of text that are worked on at once, but for single texts that are longer.
+BYTES_AT_ONCE = 4 << 20
+
+_held: list = [None, None]
+
+
+def worker_model(key, make: Callable):
+    """A heavy object that a worker keeps between tasks; one at a time, so that successive operators don't add up."""
+    if _held[0] != key:
+        _held[:] = [None, None]
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library: its allocator decides
+        _held[:] = [key, make()]
+    return _held[1]
+
+
+def by_bytes(batches: Iterable[pa.RecordBatch], column: int, limit: int = BYTES_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where the texts of a column come to more than ``limit`` bytes."""
+    for batch in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(total):
+            before = total[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(total, before + limit, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

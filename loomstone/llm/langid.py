@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from functools import lru_cache
 from math import log2
 
 import numpy as np
@@ -29,12 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import id_type, load, remainder, small_batches
+from .common import by_bytes, id_type, load, remainder, small_batches, worker_model
 
 DOCS_PER_LANG = 64
 CHARS_PER_LANG = 40_000
 MAX_CHARS = 800_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 NO_LANGUAGE = "und"
 
 
@@ -145,11 +144,6 @@ class Model:
         return [self.langs[k] if ok else NO_LANGUAGE for k, ok in zip(best, known, strict=True)], np.where(known, score, 0.0)
 
 
-@lru_cache(maxsize=2)
-def _model(digest: str, content: str) -> Model:
-    return Model(json.loads(content))
-
-
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, chars_per_lang: int = CHARS_PER_LANG) -> dict[str, str]:
     """Normalised labelled text of each language. Only ids, lengths and languages are ranked; the few chosen texts are fetched."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -181,8 +175,8 @@ def predict(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text
     schema = ", ".join([*(f"`{c}` {id_type(docs, c)}" for c in (id_col, *keep)), "lang_pred string, score double"])
 
     def run(batches):
-        model = _model(digest, shared.value)
-        for batch in batches:
+        model = worker_model(("langid", digest), lambda: Model(json.loads(shared.value)))
+        for batch in by_bytes(batches, 1):
             langs, scores = model.predict(batch.column(1))
             kept = [batch.column(0), *batch.columns[2:]]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores)], names=[id_col, *keep, "lang_pred", "score"])

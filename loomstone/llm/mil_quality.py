@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import id_type, load, remainder, small_batches
+from .common import by_bytes, id_type, load, remainder, small_batches
 
 PASSAGE_WORDS = 64
 SHAPES = 32
@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         bags, target = [], []
-        for batch in batches:
+        for batch in by_bytes(batches, 0):
             x, first = passages(batch.column(0))
             bags += [x[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
             target += batch.column(1).to_pylist()
@@ -202,7 +202,7 @@ def score(docs: DataFrame, model: bytes | None, id_col: str = "doc_id", text_col
 
     def run(batches):
         m = AttentionModel.restore(model)
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             y, a, first = m.predict(batch.column(1))
             attention = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(a))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(y), attention], names=[id_col, "score", "attention"])

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import textvec as tv
-from .common import id_type, small_batches
+from .common import by_bytes, id_type, small_batches
 
 #: Largest share of a text's word characters that may lie in duplicated n-grams of n words.
 NGRAM_LIMITS = {5: 0.22, 7: 0.20, 10: 0.18}
@@ -79,7 +79,7 @@ def repetition_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     names = [x.split()[0] for x in schema.split(", ")][1:]
 
     def run(batches):
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             m = measure(batch.column(1), limits, line_limit)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m[k]) for k in names)], names=[id_col, *names])
 

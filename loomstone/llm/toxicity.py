@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import id_type, load, remainder, small_batches
+from .common import by_bytes, id_type, load, remainder, small_batches
 
 BITS = 20
 MAX_TRAIN = 16_000
@@ -73,7 +73,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         seen = []
-        for batch in batches:
+        for batch in by_bytes(batches, 0):
             index, owner, n = features(batch.column(0), bits)
             index, owner = _distinct(index, owner, bits)
             cuts = np.searchsorted(owner, np.arange(n + 1))
@@ -100,7 +100,7 @@ def score(docs: DataFrame, weights: dict[int, float], id_col: str = "doc_id", te
         at, w = shared.value
         dense = np.zeros((1 << bits) + 1)
         dense[at] = w
-        for batch in batches:
+        for batch in by_bytes(batches, 1):
             index, owner, n = features(batch.column(1), bits)
             held = dense[index] != 0
             index, owner = _distinct(index[held], owner[held], bits)

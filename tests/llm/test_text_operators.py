@@ -92,6 +92,16 @@ def test_bpe_documents(edge, nothing, vocabulary):
     rows = bpe.round_trip(edge, keep=("lang",)).collect()
     assert len(rows) == edge.count() and {r.n_tokens for r in rows if r.doc_id in (4, 5, 13)} == {0}
     assert bpe.round_trip(nothing).count() == 0
+    path = bpe.public_vocabulary()
+    two = bpe.decode_documents(bpe.encode_documents(edge, *path, keep=("lang",)), *path, keep=("lang",)).collect()
+    assert sorted((str(r.doc_id), bytes(r.ids), bytes(r.data)) for r in two) == sorted((str(r.doc_id), bytes(r.ids), bytes(r.data)) for r in rows)
+
+
+def test_batches_are_cut_by_bytes():
+    from loomstone.llm.common import by_bytes
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["aaa", None, "b" * 50, "", "cc"])], names=["t"])
+    assert [b.num_rows for b in by_bytes([batch, batch.slice(0, 0)], 0, 5)] == [2, 1, 2]
 
 
 def test_suffix_automaton_parses_greedily():
