@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import by_bytes, id_type, load, small_batches, worker_model
 
 #: Pieces whose ids a worker keeps; beyond that those not used lately are dropped.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 300_000
+#: Answers and edges kept likewise; a table that is full is emptied.
+CACHE_PAIRS, CACHE_EDGES = 300_000, 20_000
 _LONG_PIECE = 256
 
 
@@ -73,7 +75,13 @@ class Vocabulary:
         for token, i in ranks.items():
             self.tokens[i] = token
         self.longest = max(map(len, ranks))
-        self._pairs: dict[tuple[bytes, bytes], bool] = {}
+        # lengths of the tokens that end in three given bytes: only these are looked up
+        tails: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) > 2:
+                tails.setdefault(token[-3:], set()).add(len(token))
+        self._tails = {k: (*sorted(v, reverse=True), 2, 1) for k, v in tails.items()}
+        self._pairs: dict[int, bool] = {}
         self._splits: dict[bytes, tuple[bytes, bytes] | None] = {}
         self._edges: tuple[dict, dict] = ({}, {})
         self._pieces = PieceCache(lambda p: np.array(self.encode_piece(p.encode()), dtype="<u4").tobytes(), CACHE_PIECES)
@@ -87,7 +95,7 @@ class Vocabulary:
     def split(self, token: bytes) -> tuple[bytes, bytes] | None:
         """The two tokens whose merge makes the token; None for a single byte or a token that no merge reaches."""
         if token not in self._splits:
-            if len(self._splits) > 200_000:
+            if len(self._splits) > 2 * CACHE_EDGES:
                 self._splits.clear()
             rest = {k: v for k in _substrings(token) if (v := self.ranks.get(k)) is not None and k != token}
             parts = merge_pairs(token, rest)
@@ -109,6 +117,8 @@ class Vocabulary:
                 if both is None:
                     break
                 part, until = both[side], self.ranks[part]
+            if len(self._edges[side]) > CACHE_EDGES:
+                self._edges[side].clear()
             self._edges[side][token] = edge = edge[::-1]
         return edge
 
@@ -118,7 +128,8 @@ class Vocabulary:
         Follows what stands left and right of the border as the merges within a and b go on; of equal
         ranks the left one is merged first.
         """
-        ok = self._pairs.get((a, b))
+        key = self.ranks[a] << 32 | self.ranks[b]
+        ok = self._pairs.get(key)
         if ok is not None:
             return ok
         left, right, i, j, ok = self._edge(a, 1), self._edge(b, 0), 0, 0, self.reachable(b)
@@ -133,9 +144,9 @@ class Vocabulary:
                 i += 1
             else:
                 j += 1
-        if len(self._pairs) > 400_000:
+        if len(self._pairs) > CACHE_PAIRS:
             self._pairs.clear()
-        self._pairs[a, b] = ok
+        self._pairs[key] = ok
         return ok
 
     def encode_piece(self, piece: bytes) -> list[int]:
@@ -143,26 +154,30 @@ class Vocabulary:
         if whole is not None:
             # a piece that is itself a token is that token, as in the public encoders
             return [whole]
-        ranks, longest, pairs, last = self.ranks, self.longest, self._pairs, [b""]
+        ranks, tails, short, pairs, last, ids = self.ranks, self._tails, (2, 1), self._pairs, [b""], [0]
         for end in range(1, len(piece) + 1):
-            for start in range(end - longest if end > longest else 0, end):
+            for length in tails.get(piece[end - 3 : end], short) if end > 2 else short:
+                start = end - length
+                if start < 0:
+                    continue
                 token = piece[start:end]
-                if token in ranks:
-                    before = last[start]
-                    if before:
-                        ok = pairs.get((before, token))
+                rank = ranks.get(token)
+                if rank is not None:
+                    if start:
+                        ok = pairs.get(ids[start] << 32 | rank)
                         if ok is None:
-                            ok = self.compatible(before, token)
+                            ok = self.compatible(last[start], token)
                     else:
                         ok = self.reachable(token)
                     if ok:
                         last.append(token)
+                        ids.append(rank)
                         break
             else:
                 raise ValueError(f"the vocabulary has no token for byte {piece[end - 1]}")
         out, end = [], len(piece)
         while end:
-            out.append(ranks[last[end]])
+            out.append(ids[end])
             end -= len(last[end])
         return out[::-1]
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch handed to Python.
 ROWS_PER_BATCH = 1024
 #: Bytes of text that are worked on at once, but for single texts that are longer.
-BYTES_AT_ONCE = 4 << 20
+BYTES_AT_ONCE = 1 << 20
 
 _held: list = [None, None]
 

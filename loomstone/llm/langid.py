@@ -31,9 +31,9 @@ from . import textvec as tv
 from .common import by_bytes, id_type, load, remainder, small_batches, worker_model
 
 DOCS_PER_LANG = 64
-CHARS_PER_LANG = 40_000
+CHARS_PER_LANG = 30_000
 MAX_CHARS = 800_000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 NO_LANGUAGE = "und"
 
 
