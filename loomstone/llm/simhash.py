@@ -18,6 +18,12 @@ Finding the links, over distinct fingerprints only (equal ones need no pairs):
 
 Components are found by alternating large-star and small-star steps, in tables in the shared folder.
 
+The pipeline drops near copies by another measure (``drop_near_duplicates``): sets of 5-word shingles with
+a Jaccard similarity of 0.8 or more are linked. At 0.8, fingerprints may differ in 17 bits and more,
+a radius at which pivots no longer discard, so candidates come from 40 keys of six least hashes
+(MinHash): a pair at 0.8 shares none with a probability of 5 in a million. Candidates are verified
+on their texts, equal sets need no pairs.
+
 Defined results: null, empty and blank texts have fingerprint zero, linked like any other; texts of
 fewer words than a shingle are one shingle; a component's id is its least non-null document id;
 repeated rows are rows of the same component; an empty table gives an empty result. Only the two
@@ -26,6 +32,7 @@ named columns are read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations, repeat
 
 import numpy as np
@@ -33,8 +40,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import drop, id_type, load, materialize, small_batches
+from . import textvec as tv
+from .common import by_bytes, drop, id_type, load, materialize, small_batches
 from .textvec import LOWER
 
 SHINGLE = 3
@@ -42,6 +51,10 @@ SEED = 42
 MAX_BITS = 2
 MAX_KEY = 64
 QUARTERS = [0xFFFF << s for s in (0, 16, 32, 48)]
+#: Near copies that the pipeline drops: Jaccard similarity of the sets of shingles, words of a shingle.
+MIN_JACCARD = 0.8
+COPY_SHINGLE = 5
+BANDS, BAND_ROWS, FIRST_BANDS = 40, 6, 10
 
 
 def _references(n: int) -> list[int]:
@@ -55,6 +68,7 @@ def _signed(x: int) -> int:
 
 PIVOTS = [_signed(x) for x in _references(16)]
 _FOLD = LOWER.tobytes()
+_ORDERS = np.array([x | 1 for x in _references(16 + BANDS * BAND_ROWS)[16:]], dtype=np.uint64)
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -159,12 +173,116 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def gram_sets(column, shingle: int = COPY_SHINGLE) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text of an Arrow column; texts of fewer words are one shingle."""
+    b = tv.Batch(column, fold=True)
+    starts, ends, owner = b.runs(tv.SPACE)
+    words = b.hashes(starts, ends)
+    grams, at = tv.ngrams(words, owner, shingle)
+    texts = np.arange(b.n + 1)
+    cuts = np.searchsorted(owner[at], texts).tolist()
+    first = np.searchsorted(owner, texts).tolist()
+    for i in range(b.n):
+        if cuts[i + 1] > cuts[i]:
+            yield np.unique(grams[cuts[i] : cuts[i + 1]])
+        else:
+            few = words[first[i] : first[i + 1]]
+            yield np.array([xxhash.xxh64_intdigest(few.tobytes(), SEED)] if len(few) else [], dtype=np.uint64)
+
+
+def band_keys(grams: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys, each a hash of the least values of ``BAND_ROWS`` random orders of the shingles."""
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for i in range(0, len(grams), 512):
+        np.minimum(least, (_ORDERS[:, None] * grams[None, i : i + 512]).min(axis=1), out=least)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        key = tv.mix(key * np.uint64(0x9E3779B97F4A7C15) + row)
+    return key.view(np.int64)
+
+
+def with_bands(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows with ``__set`` (hash of the text's set of shingles) and ``__bands``, made where the rows are read."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    schema = StructType([*docs.schema.fields, StructField("__set", LongType()), StructField("__bands", ArrayType(LongType()))])
+
+    def run(batches):
+        for batch in by_bytes(batches, at):
+            sets = list(gram_sets(batch.column(at)))
+            names = [_signed(xxhash.xxh64_intdigest(g.tobytes(), SEED)) for g in sets]
+            bands = pa.array([band_keys(g) for g in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.int64()), bands], names=[*batch.schema.names, "__set", "__bands"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, text_col: str, made: list) -> DataFrame:
+    """Those of the pairs (a, b) of sets whose Jaccard similarity is ``MIN_JACCARD`` at least."""
+    pairs = materialize(pairs.distinct(), "copy-pairs")
+    sets = pairs.select(F.explode(F.array("a", "b")).alias("__set")).distinct()
+    texts = rows.join(sets, "__set", "left_semi").groupBy("__set").agg(F.first(text_col).alias("t"))
+    texts = materialize(texts, "copy-texts")
+    both = pairs.join(texts.select(F.col("__set").alias("a"), F.col("t").alias("s")), "a").join(texts.withColumnRenamed("__set", "b"), "b").select("a", "b", "s", "t")
+
+    def run(batches):
+        for whole in batches:
+            for batch in by_bytes(by_bytes([whole], 2), 3):
+                n = [(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True))) for x, y in zip(gram_sets(batch.column(2)), gram_sets(batch.column(3)), strict=True)]
+                near = pa.array([c >= MIN_JACCARD * (x + y - c) for x, y, c in n], pa.bool_())
+                yield batch.select(["a", "b"]).filter(near)
+
+    made += [pairs, texts]
+    out = materialize(both.mapInArrow(run, "a long, b long"), "copy-links")
+    made.append(out)
+    return out
+
+
+def copy_roots(rows: DataFrame, text_col: str = "text", max_key: int = MAX_KEY, made: list | None = None) -> DataFrame:
+    """(node, root): the components of sets of shingles linked by a Jaccard similarity of ``MIN_JACCARD``.
+
+    ``rows`` is from ``with_bands``. First the sets of a key are held against its least; then the pairs of
+    a key that lie in different components: all of them up to ``max_key`` sets a key, beyond that each set
+    against the least of each other component there.
+    """
+    made = [] if made is None else made
+    keyed = rows.groupBy("__set").agg(F.first("__bands").alias("keys")).select(F.col("__set").alias("set"), F.posexplode("keys").alias("band", "key"))
+    keyed = materialize(keyed, "copy-keys")
+    shared = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("set").alias("least")).filter("n > 1"), "copy-shared")
+    found = materialize(keyed.join(shared, "key"), "copy-found")
+    made += [keyed, shared, found]
+    edges = _verified(found.filter(f"band < {FIRST_BANDS} and set <> least").select(F.col("least").alias("a"), F.col("set").alias("b")), rows, text_col, made)
+    roots = components(edges)
+    made.append(roots)
+
+    marked = found.join(roots, found.set == roots.node, "left").select("key", "n", "set", F.coalesce("root", "set").alias("root"))
+    marked = materialize(marked, "copy-marked")
+    open_keys = marked.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
+    left = materialize(marked.join(open_keys, "key"), "copy-open")
+    made += [marked, left]
+    small = left.filter(F.col("n") <= max_key).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("set", "root"))).alias("t"))
+    pairs = small.select(F.explode(F.expr(f"flatten(transform(t, (x, i) -> transform(filter(slice(t, i + 2, {max_key}), y -> x.root <> y.root), y -> struct(x.set as a, y.set as b))))")).alias("e")).select("e.a", "e.b")
+    crowded = left.filter(F.col("n") > max_key)
+    firsts = crowded.groupBy("key", "root").agg(F.min("set").alias("a")).withColumnRenamed("root", "a_root")
+    across = crowded.join(firsts, "key").filter("root <> a_root").select(F.least("a", "set").alias("a"), F.greatest("a", "set").alias("b"))
+    more = _verified(pairs.unionByName(across), rows, text_col, made)
+    return components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_key: int = MAX_KEY) -> DataFrame:
     """One document of each component: that of the least id (one row of it, should the id repeat)."""
-    groups = near_duplicates(docs, id_col, text_col)
+    made: list = []
+    rows = materialize(with_bands(docs, text_col), "copies")
+    roots = copy_roots(rows, text_col, max_key, made)
+    groups = rows.join(roots, F.col("__set") == roots.node, "left").select(id_col, F.coalesce("root", "__set").alias("root"))
+    least = groups.groupBy("root").agg(F.min(id_col).alias("component_id"))
+    groups = groups.join(least, "root")
     gone = groups.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
+    gone = materialize(gone, "copies-gone")
+    for table in (*made, roots):
+        drop(table)
     out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
-    if groups.groupBy(id_col).count().filter("count > 1").limit(1).count():
+    if rows.groupBy(id_col).count().filter("count > 1").limit(1).count():
         out = out.dropDuplicates([id_col])
     return out
 

@@ -165,3 +165,47 @@ def test_query_matches_sql(spark, sf_dir, name):
     assert order == sorted(want.columns)
     at = [want.columns.index(c) for c in order]
     assert sorted(str(tuple(r)) for r in df.select(*order).collect()) == sorted(str(tuple(r[i] for i in at)) for r in want.fetchall())
+
+
+def word_sets(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def jaccard_groups(texts):
+    """Group number of each text: components of a Jaccard similarity of 0.8, by holding all against all."""
+    sets = [word_sets(t) for t in texts]
+    group = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            c = len(a & sets[j])
+            if a == sets[j] or (c and c >= 0.8 * (len(a) + len(sets[j]) - c)):
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    return group
+
+
+def near_copies():
+    import random
+
+    rng, out = random.Random(7), []
+    word = lambda: f"w{rng.randrange(5000)}"
+    for size in (6, 20, 60, 240):
+        for _ in range(8):
+            base = [word() for _ in range(size)]
+            for edits in (0, 0, 1, 2, 3, size // 30, size // 20):
+                copy = list(base)
+                for _ in range(edits):
+                    copy[rng.randrange(size)] = word()
+                out.append(" ".join(copy))
+    return out
+
+
+@pytest.mark.parametrize("max_key", [64, 2])
+def test_near_copies_by_jaccard(spark, docs, max_key):
+    texts = near_copies() + [r.text for r in docs.collect()][:: 1 if max_key == 64 else 4]
+    groups = defaultdict(set)
+    for i, g in enumerate(jaccard_groups(texts)):
+        groups[g].add(i)
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), max_key=max_key)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(map(min, groups.values()))
