@@ -270,21 +270,17 @@ def copy_roots(rows: DataFrame, text_col: str = "text", max_key: int = MAX_KEY,
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_key: int = MAX_KEY) -> DataFrame:
-    """One document of each component: that of the least id (one row of it, should the id repeat)."""
+    """One row of each component: one of the least id, rows without an id last. Ids may repeat or be null; rows are told apart by ``__row``."""
     made: list = []
-    rows = materialize(with_bands(docs, text_col), "copies")
+    rows = materialize(with_bands(docs.withColumn("__row", F.monotonically_increasing_id()), text_col), "copies")
     roots = copy_roots(rows, text_col, max_key, made)
-    groups = rows.join(roots, F.col("__set") == roots.node, "left").select(id_col, F.coalesce("root", "__set").alias("root"))
-    least = groups.groupBy("root").agg(F.min(id_col).alias("component_id"))
-    groups = groups.join(least, "root")
-    gone = groups.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    gone = materialize(gone, "copies-gone")
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    firsts = rows.groupBy("__set").agg(F.min(order).alias("first"))
+    firsts = firsts.join(roots, F.col("__set") == roots.node, "left").groupBy(F.coalesce("root", "__set")).agg(F.min("first").alias("first"))
+    gone = materialize(rows.select("__row").join(firsts.select(F.col("first.row").alias("__row")), "__row", "left_anti"), "copies-gone")
     for table in (*made, roots):
         drop(table)
-    out = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
-    if rows.groupBy(id_col).count().filter("count > 1").limit(1).count():
-        out = out.dropDuplicates([id_col])
-    return out
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def op9_simhash(spark, sf_dir) -> DataFrame:

@@ -209,3 +209,11 @@ def test_near_copies_by_jaccard(spark, docs, max_key):
         groups[g].add(i)
     kept = simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), max_key=max_key)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(map(min, groups.values()))
+
+
+def test_near_copies_go_by_row(spark):
+    other, third, fourth = ("unlike text number %d that shares no five words with number %d" % (i, i) for i in (2, 3, 4))
+    copy = "one text that is here several times over in the very same words"
+    rows = [(1, copy), (None, copy), (None, other), (None, third), (5, copy), (5, fourth), (5, "a fifth text under one id with words of its own"), (None, "the last one has no id either and is unique")]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n int"))
+    assert sorted(r.n for r in kept.collect()) == [0, 2, 3, 5, 6, 7]
