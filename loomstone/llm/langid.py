@@ -6,8 +6,10 @@ characters and ``N`` characters of labelled text, the cross-parsing entropy is `
 bits a character, and the language of least entropy wins. Phrases don't run over word borders (each
 word is parsed with a blank on both sides), so a word's phrase counts are found once and used again.
 
-Training takes at most ``docs_per_lang`` documents of 200 to 20,000 bytes of each language, those of
-least hash of the id, and ``chars_per_lang`` characters of them (less where there are very many languages).
+Training takes ``docs_per_lang`` documents of 200 to 20,000 bytes of each language, those of least hash of
+the id, and ``chars_per_lang`` characters of them (less where there are very many languages). Where they
+have fewer characters, further documents with letters are taken, of these lengths first, then of any.
+A phrase costs at least the bits of ``FLOOR_CHARS`` characters, so that languages with little text don't win by it.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without any labelled
 text every row is ``und``; ties go to the language first in order; null languages are never learned;
@@ -34,6 +36,7 @@ DOCS_PER_LANG = 64
 CHARS_PER_LANG = 30_000
 MAX_CHARS = 800_000
 CACHE_WORDS = 200_000
+FLOOR_CHARS = 2_000
 NO_LANGUAGE = "und"
 
 
@@ -97,7 +100,7 @@ class Model:
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
         self.automata = [SuffixAutomaton(texts[x]) for x in self.langs]
-        self.bits = np.array([log2(max(2, len(texts[x]))) for x in self.langs])
+        self.bits = np.array([log2(max(FLOOR_CHARS, len(texts[x]))) for x in self.langs])
         self._forget()
 
     def _forget(self):
@@ -146,20 +149,35 @@ class Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, chars_per_lang: int = CHARS_PER_LANG) -> dict[str, str]:
     """Normalised labelled text of each language. Only ids, lengths and languages are ranked; the few chosen texts are fetched."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    thin = rows.filter(F.col("lang").isNotNull() & F.octet_length("text").between(200, 20_000))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull())
+    langs = [r.lang for r in rows.select("lang").distinct().collect()]
+    if not langs:
+        return {}
+    limit = max(FLOOR_CHARS, min(chars_per_lang, MAX_CHARS // len(langs)))
+    usual = F.octet_length("text").between(200, 20_000)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = thin.select("id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= docs_per_lang)
-    chosen = [(r.id, r.lang) for r in chosen.select("id", "lang").collect()]
+    thin = rows.filter(usual).select("id", "lang", F.char_length("text").alias("n"))
+    chosen = [(r.id, r.lang, r.n) for r in thin.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= docs_per_lang).drop("rank").collect()]
+    have = dict.fromkeys(langs, 0)
+    for _, lang, n in chosen:
+        have[lang] += n
+    lacking = [x for x in langs if have[x] < limit]
+    if lacking:
+        # every text with a letter has a character at least, so that ``limit`` of them are always enough
+        order = Window.partitionBy("lang").orderBy(F.col("other"), F.xxhash64("id"), "id")
+        more = rows.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in lacking], "lang string")), "lang").filter(F.col("text").rlike("\\p{L}"))
+        more = more.select("id", "lang", (~usual).alias("other"), F.least(F.char_length("text"), F.lit(limit)).alias("n"))
+        more = more.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+        more = more.withColumn("before", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1))).filter(F.coalesce("before", F.lit(0)) < limit)
+        chosen += [(r.id, r.lang, r.n) for r in more.select("id", "lang", "n").collect()]
     if not chosen:
         return {}
-    ids = docs.sparkSession.createDataFrame(chosen, f"id {id_type(docs, id_col)}, lang string").distinct()
-    got = rows.join(F.broadcast(ids), ["id", "lang"]).select("lang", "text").distinct().collect()
+    ids = docs.sparkSession.createDataFrame([c[:2] for c in chosen], f"id {id_type(docs, id_col)}, lang string").distinct()
+    got = rows.join(F.broadcast(ids), ["id", "lang"]).select("lang", F.substring("text", 1, max(limit, 20_000)).alias("text")).distinct().collect()
     texts: dict[str, str] = {}
-    limit = max(2_000, min(chars_per_lang, MAX_CHARS // len({r.lang for r in got})))
     for r in sorted(got, key=lambda r: hashlib.md5(r.text.encode()).digest()):
         have = texts.get(r.lang, "")
-        if len(have) < limit:
+        if len(have) < limit and any(map(str.isalpha, r.text)):
             texts[r.lang] = have + _split(r.text)
     return texts
 

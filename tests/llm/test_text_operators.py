@@ -193,3 +193,25 @@ def test_quality_held_out(spark, edge, nothing):
     assert len(rows) == edge.count() and all(0 <= r.score <= 1 for r in rows)
     assert mil_quality.fit(nothing, spark.createDataFrame([], "doc_id long, quality int")) is None
     assert {r.score for r in mil_quality.score(edge, None).collect()} == {0.5}
+
+
+def test_langid_learns_from_texts_of_any_length(spark):
+    import corpus_pipeline
+
+    words = {"en": "the house and river with green trees where children were playing".split(), "es": "la casa junto al río con árboles verdes donde jugaban niños".split()}
+    rng = np.random.default_rng(4)
+    rows = []
+    for k, (lang, w) in enumerate(words.items()):
+        sizes = [5] * 200 if lang == "en" else [9_000] * 3 + [40] * 3
+        rows += [(1000 * k + i, " ".join(rng.choice(w, n)), lang, "s") for i, n in enumerate(sizes)]
+    rows += [(5000, "漢", "zh", "s"), (5001, "?!", "en", "s"), (5002, "...", "xx", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    texts = langid.fit(df)
+    assert set(texts) == {"en", "es", "zh"}
+    got = langid.predict(df, texts, keep=("lang",)).filter("doc_id < 5000").collect()
+    assert all(r.lang == r.lang_pred for r in got)
+    short = df.filter("lang = 'en'")
+    assert set(langid.fit(short)) == {"en"} and langid.fit(df.filter("doc_id = 0"), chars_per_lang=2)
+    unlabelled = df.withColumn("lang", df.lang.substr(1, 0)).selectExpr("doc_id", "text", "nullif(lang, '') as lang", "source")
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, unlabelled, "").collect()}
+    assert kept == {r[0] for r in rows} - {5001, 5002}
