@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from math import log2
 
 import numpy as np
@@ -33,7 +34,7 @@ from . import textvec as tv
 from .common import by_bytes, id_type, load, remainder, small_batches, worker_model
 
 DOCS_PER_LANG = 64
-CHARS_PER_LANG = 30_000
+CHARS_PER_LANG = 40_000
 MAX_CHARS = 800_000
 CACHE_WORDS = 200_000
 FLOOR_CHARS = 2_000
@@ -41,48 +42,55 @@ NO_LANGUAGE = "und"
 
 
 class SuffixAutomaton:
-    """The smallest automaton that accepts every substring of a text."""
+    """The smallest automaton that accepts every substring of a text.
+
+    Most states have one way on: its character and end are two array entries; only the others have a dict.
+    """
 
     def __init__(self, text: str):
-        self.next: list[dict[str, int]] = [{}]
-        link, length, last = [-1], [0], 0
-        for ch in text:
-            new = len(self.next)
-            self.next.append({})
+        steps: list[dict[int, int]] = [{}]
+        link, length, last = array("i", [-1]), array("i", [0]), 0
+        for ch in map(ord, text):
+            new = len(steps)
+            steps.append({})
             link.append(0)
             length.append(length[last] + 1)
             p = last
-            while p >= 0 and ch not in self.next[p]:
-                self.next[p][ch] = new
+            while p >= 0 and ch not in steps[p]:
+                steps[p][ch] = new
                 p = link[p]
             if p >= 0:
-                q = self.next[p][ch]
+                q = steps[p][ch]
                 if length[p] + 1 == length[q]:
                     link[new] = q
                 else:
-                    copy = len(self.next)
-                    self.next.append(dict(self.next[q]))
+                    copy = len(steps)
+                    steps.append(dict(steps[q]))
                     link.append(link[q])
                     length.append(length[p] + 1)
-                    while p >= 0 and self.next[p].get(ch) == q:
-                        self.next[p][ch] = copy
+                    while p >= 0 and steps[p].get(ch) == q:
+                        steps[p][ch] = copy
                         p = link[p]
                     link[q] = link[new] = copy
             last = new
+        ways = [next(iter(x.items())) if len(x) == 1 else (-1, 0) for x in steps]
+        self.char, self.to = array("i", [c for c, _ in ways]), array("i", [t for _, t in ways])
+        self.many: dict[int, dict[int, int]] = {k: x for k, x in enumerate(steps) if len(x) > 1}
 
     def phrases(self, text: str) -> int:
         """Phrases of the greedy parse; a character that the text lacks is a phrase of its own."""
-        steps, root, state, n = self.next, self.next[0], 0, 0
-        for ch in text:
-            to = steps[state].get(ch)
-            if to is None:
+        char, to, many, none = self.char, self.to, self.many, {}
+        state = n = 0
+        for ch in map(ord, text):
+            now = to[state] if char[state] == ch else many.get(state, none).get(ch)
+            if now is None:
                 if state:
                     n += 1
-                to = root.get(ch)
-                if to is None:
+                now = to[0] if char[0] == ch else many.get(0, none).get(ch)
+                if now is None:
                     n += 1
-                    to = 0
-            state = to
+                    now = 0
+            state = now
         return n + (state > 0)
 
 

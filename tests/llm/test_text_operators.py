@@ -215,3 +215,12 @@ def test_langid_learns_from_texts_of_any_length(spark):
     unlabelled = df.withColumn("lang", df.lang.substr(1, 0)).selectExpr("doc_id", "text", "nullif(lang, '') as lang", "source")
     kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, unlabelled, "").collect()}
     assert kept == {r[0] for r in rows} - {5001, 5002}
+
+
+def test_langid_training_text_and_compact_automata(spark):
+    df = spark.createDataFrame([(i, " ".join(f"{a}{b}" for a in "abcdefgh" * 20 for b in "ijklmnop"), "en") for i in range(20)], "doc_id long, text string, lang string")
+    df = df.selectExpr("doc_id", "text || repeat(char(97 + doc_id), cast(doc_id as int)) as text", "lang")
+    text = langid.fit(df)["en"]
+    assert len(text) >= 40_000
+    a = langid.SuffixAutomaton(text[:5_000])
+    assert len(a.many) < len(a.char) / 2
