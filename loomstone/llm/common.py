@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 ROWS_PER_BATCH = 1024
 #: Bytes of text that are worked on at once, but for single texts that are longer.
 BYTES_AT_ONCE = 1 << 20
+#: Largest table, measured in bytes, that is broadcast.
+BROADCAST_BYTES = 16 << 20
 
 _held: list = [None, None]
 
@@ -62,11 +65,13 @@ def small_batches(spark: SparkSession, rows: int = ROWS_PER_BATCH) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, single machine) a temporary folder is made and
-    kept in the session, and Spark's checkpoints go there too.
+    Where a session in one process (tests, single machine) names none, a temporary folder is made
+    and kept in the session, and Spark's checkpoints go there too; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.loomstone.shared.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomstone-")
         spark.conf.set("spark.loomstone.shared.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -100,6 +105,28 @@ def drop(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def small(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether the rows, as text and 16 bytes more a value, come to ``limit`` bytes at most (``BROADCAST_BYTES``)."""
+    size = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("long") + 16 for c in df.columns), F.lit(0))
+    return (df.agg(F.sum(size)).first()[0] or 0) <= (BROADCAST_BYTES if limit is None else limit)
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """The (materialised) table, marked to be broadcast if its measured size allows it; joins work either way."""
+    return F.broadcast(df) if small(df) else df
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that the table has not."""
+    have, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def remainder(column: str, n: int):
     """crc32 of the column as text, modulo ``n`` (null stays null)."""
     return F.crc32(F.col(column).cast("string")) % n

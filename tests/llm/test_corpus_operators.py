@@ -7,7 +7,7 @@ import duckdb
 import pytest
 import xxhash
 
-from loomstone.llm import decontam, line_dedup, queries, sharding, simhash
+from loomstone.llm import common, decontam, line_dedup, queries, sharding, simhash
 from loomstone.llm.common import scratch
 
 
@@ -108,9 +108,9 @@ def plain_hits(docs, bench):
     return Counter(out)
 
 
-@pytest.mark.parametrize("limit", [500_000, 0])
+@pytest.mark.parametrize("limit", [16 << 20, -1])
 def test_decontamination(spark, monkeypatch, limit):
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
     d, b = bench_docs(spark)
     got = decontam.contamination(d, b).collect()
     assert Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got) == plain_hits([(r.doc_id, r.text) for r in d.collect()], [tuple(r) for r in b.collect()])
