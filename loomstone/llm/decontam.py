@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, drop, free_names, load, materialize
 
 WINDOW = 10
-K = 4
+K = 8
 
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words, in folded, upper-cased and raw texts alike.
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _AZ, _az = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
