@@ -11,7 +11,7 @@ kept and used again. Special tokens are ordinary text.
 
 Defined results: null and empty texts have no ids and decode to nothing; texts and pieces of any
 length take time in proportion to their bytes; repeated rows are encoded row by row; only the named
-columns are read.
+columns are read, and kept columns called as the results are left out.
 """
 
 from __future__ import annotations
@@ -258,12 +258,17 @@ def public_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def _kept(keep: tuple[str, ...], id_col: str) -> tuple[str, ...]:
+    return tuple(c for c in keep if c not in (id_col, "ids", "data", "n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row: its id (and the columns ``keep``) and ``ids``, the token ids as little-endian unsigned 32-bit integers (binary).
 
     ``path`` is the rank file's place on every executor. No shuffle.
     """
     small_batches(docs.sparkSession)
+    keep = _kept(keep, id_col)
 
     def run(batches):
         v = vocabulary(path, pattern)
@@ -277,6 +282,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``encode_documents``: id (and ``keep``), ids, and ``data``, the decoded bytes."""
+    keep = _kept(keep, id_col)
 
     def run(batches):
         v = vocabulary(path, pattern)
@@ -291,6 +297,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
 def encode_and_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Both in one pass, so that a task needs one worker and one vocabulary: id, ``keep``, ids, data."""
     small_batches(docs.sparkSession)
+    keep = _kept(keep, id_col)
 
     def run(batches):
         v = vocabulary(path, pattern)

@@ -1,56 +1,59 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text gives the longest match from any position. A
-text is parsed greedily into phrases that occur in a language's text; with ``c`` phrases over ``n``
+whole text is parsed greedily into phrases that occur in a language's text; with ``c`` phrases over ``n``
 characters and ``N`` characters of labelled text, the cross-parsing entropy is ``c * log2(N) / n``
-bits a character, and the language of least entropy wins. Phrases don't run over word borders (each
-word is parsed with a blank on both sides), so a word's phrase counts are found once and used again.
+bits a character, and the language of least entropy wins. Phrases run over word borders.
 
 Training takes ``docs_per_lang`` documents of 200 to 20,000 bytes of each language, those of least hash of
-the id, and ``chars_per_lang`` characters of them (less where there are very many languages). Where they
+the id, and ``chars_per_lang`` characters of them (less where there are more than ten languages). Where they
 have fewer characters, further documents with letters are taken, of these lengths first, then of any.
+More than ``MAX_LANGS`` languages are an error, as every worker holds all automata.
 A phrase costs at least the bits of ``FLOOR_CHARS`` characters, so that languages with little text don't win by it.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without any labelled
 text every row is ``und``; ties go to the language first in order; null languages are never learned;
 repeated rows are predicted row by row. Only the named columns are read, and the language and the id
-only for training.
+only for training; kept columns called as the results are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 from array import array
 from math import log2
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import textvec as tv
 from .common import by_bytes, id_type, load, remainder, small_batches, worker_model
 
 DOCS_PER_LANG = 64
 CHARS_PER_LANG = 40_000
-MAX_CHARS = 800_000
-CACHE_WORDS = 200_000
+MAX_CHARS = 400_000
+MAX_LANGS = 200
 FLOOR_CHARS = 2_000
 NO_LANGUAGE = "und"
 
 
-class SuffixAutomaton:
-    """The smallest automaton that accepts every substring of a text.
+_BETWEEN = re.compile(r"[\x00-\x60\x7B-\x7F]+")
+
+
+def normalise(text: str) -> str:
+    """The lower-cased text, each run of ASCII that is not a letter as one blank, a blank at both ends. Labelled texts and texts to be told are treated alike."""
+    return f" {_BETWEEN.sub(' ', text.lower()).strip()} "
 
-    Most states have one way on: its character and end are two array entries; only the others have a dict.
-    """
+
+class SuffixAutomaton:
+    """The smallest automaton that accepts every substring of a text. A state is a dict from characters to states."""
 
     def __init__(self, text: str):
-        steps: list[dict[int, int]] = [{}]
+        steps: list[dict] = [{}]
         link, length, last = array("i", [-1]), array("i", [0]), 0
-        for ch in map(ord, text):
+        for ch in text:
             new = len(steps)
             steps.append({})
             link.append(0)
@@ -73,92 +76,57 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[new] = copy
             last = new
-        ways = [next(iter(x.items())) if len(x) == 1 else (-1, 0) for x in steps]
-        self.char, self.to = array("i", [c for c, _ in ways]), array("i", [t for _, t in ways])
-        self.many: dict[int, dict[int, int]] = {k: x for k, x in enumerate(steps) if len(x) > 1}
+        for state in steps:
+            for ch, to in state.items():
+                state[ch] = steps[to]
+        self.root = steps[0]
 
     def phrases(self, text: str) -> int:
-        """Phrases of the greedy parse; a character that the text lacks is a phrase of its own."""
-        char, to, many, none = self.char, self.to, self.many, {}
-        state = n = 0
-        for ch in map(ord, text):
-            now = to[state] if char[state] == ch else many.get(state, none).get(ch)
+        """Phrases of the greedy parse: longest matches one after the other; a character that the labelled text lacks is a phrase of its own."""
+        state = root = self.root
+        n = 0
+        for ch in text:
+            now = state.get(ch)
             if now is None:
-                if state:
+                if state is not root:
                     n += 1
-                now = to[0] if char[0] == ch else many.get(0, none).get(ch)
+                now = root.get(ch)
                 if now is None:
                     n += 1
-                    now = 0
+                    now = root
             state = now
-        return n + (state > 0)
-
-
-def _split(text: str) -> str:
-    """Words of the lower-cased text, single blanks between and around them."""
-    b = tv.Batch(pa.array([text.lower()], pa.large_string()))
-    starts, ends, _ = b.runs(tv.NOT_LETTER)
-    raw = b.bytes.tobytes()
-    return " " + " ".join(raw[s:e].decode() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)) + " "
+        return n + (state is not root)
 
 
 class Model:
-    """Automata of the languages and the phrase counts of words seen so far."""
+    """Automata of the languages."""
 
     def __init__(self, texts: dict[str, str]):
         self.langs = sorted(texts)
         self.automata = [SuffixAutomaton(texts[x]) for x in self.langs]
-        self.bits = np.array([log2(max(FLOOR_CHARS, len(texts[x]))) for x in self.langs])
-        self._forget()
-
-    def _forget(self):
-        self.rows: dict[int, int] = {}
-        self.table = np.zeros((1024, len(self.langs) + 2), dtype=np.float32)
-
-    def _learn(self, key: int, word: str) -> int:
-        row = self.rows[key] = len(self.rows)
-        if row == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        padded = f" {word} "
-        self.table[row] = [*(a.phrases(padded) for a in self.automata), len(word) + 1, any(map(str.isalpha, word))]
-        return row
-
-    def predict(self, column) -> tuple[list[str], np.ndarray]:
-        """Language and score of each text of an Arrow column."""
-        b = tv.Batch(pc.utf8_lower(column.fill_null("")))
-        if not self.langs:
-            return [NO_LANGUAGE] * b.n, np.zeros(b.n)
-        starts, ends, owner = b.runs(tv.NOT_LETTER)
-        keys, first, place = np.unique(b.hashes(starts, ends), return_index=True, return_inverse=True)
-        if len(self.rows) + len(keys) > CACHE_WORDS and self.rows:
-            self._forget()
-        raw, rows = b.bytes.tobytes(), np.empty(len(keys), dtype=np.int64)
-        get = self.rows.get
-        for i, key in enumerate(keys.tolist()):
-            row = get(key)
-            if row is None:
-                k = first[i]
-                row = self._learn(key, raw[starts[k] : ends[k]].decode())
-            rows[i] = row
-        rows = rows[place]
-        phrases = np.stack([tv.counts_by(owner, b.n, self.table[rows, i]) for i in range(len(self.langs))], axis=1)
-        chars, letters = (tv.counts_by(owner, b.n, self.table[rows, len(self.langs) + i]) for i in (0, 1))
-        entropy = phrases * self.bits / np.maximum(chars, 1)[:, None]
-        best = entropy.argmin(axis=1)
-        least = entropy[np.arange(b.n), best]
-        if len(self.langs) > 1:
-            second = np.partition(entropy, 1, axis=1)[:, 1]
-            score = np.clip((second - least) / np.maximum(second, 1e-12), 0, 1)
-        else:
-            score = np.ones(b.n)
-        known = letters > 0
-        return [self.langs[k] if ok else NO_LANGUAGE for k, ok in zip(best, known, strict=True)], np.where(known, score, 0.0)
+        self.bits = [log2(max(FLOOR_CHARS, len(texts[x]))) for x in self.langs]
+
+    def entropies(self, text: str) -> list[float]:
+        """Cross-parsing entropy of the whole text in each language, in bits a character."""
+        text = normalise(text)
+        return [a.phrases(text) * b / len(text) for a, b in zip(self.automata, self.bits, strict=True)]
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        """Language and score: how far the second language lies behind."""
+        if not self.langs or not any(map(str.isalpha, text or "")):
+            return NO_LANGUAGE, 0.0
+        entropy = self.entropies(text)
+        least = min(entropy)
+        others = [x for i, x in enumerate(entropy) if i != entropy.index(least)]
+        return self.langs[entropy.index(least)], (min(others) - least) / min(others) if others else 1.0
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = DOCS_PER_LANG, chars_per_lang: int = CHARS_PER_LANG) -> dict[str, str]:
     """Normalised labelled text of each language. Only ids, lengths and languages are ranked; the few chosen texts are fetched."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull())
-    langs = [r.lang for r in rows.select("lang").distinct().collect()]
+    langs = [r.lang for r in rows.select("lang").distinct().limit(MAX_LANGS + 1).collect()]
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages are labelled")
     if not langs:
         return {}
     limit = max(FLOOR_CHARS, min(chars_per_lang, MAX_CHARS // len(langs)))
@@ -186,7 +154,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for r in sorted(got, key=lambda r: hashlib.md5(r.text.encode()).digest()):
         have = texts.get(r.lang, "")
         if len(have) < limit and any(map(str.isalpha, r.text)):
-            texts[r.lang] = have + _split(r.text)
+            texts[r.lang] = have + normalise(r.text[:limit])
     return texts
 
 
@@ -197,15 +165,16 @@ def predict(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text
     content = json.dumps(texts, sort_keys=True)
     digest = hashlib.md5(content.encode()).hexdigest()
     shared = spark.sparkContext.broadcast(content)
+    keep = tuple(c for c in keep if c not in (id_col, "lang_pred", "score"))
     columns = [id_col, text_col, *keep]
     schema = ", ".join([*(f"`{c}` {id_type(docs, c)}" for c in (id_col, *keep)), "lang_pred string, score double"])
 
     def run(batches):
         model = worker_model(("langid", digest), lambda: Model(json.loads(shared.value)))
         for batch in by_bytes(batches, 1):
-            langs, scores = model.predict(batch.column(1))
+            found = [model.predict(t) for t in batch.column(1).to_pylist()]
             kept = [batch.column(0), *batch.columns[2:]]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores)], names=[id_col, *keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=[id_col, *keep, "lang_pred", "score"])
 
     return docs.select(*columns).mapInArrow(run, schema)
 

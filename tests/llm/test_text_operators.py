@@ -217,10 +217,40 @@ def test_langid_learns_from_texts_of_any_length(spark):
     assert kept == {r[0] for r in rows} - {5001, 5002}
 
 
-def test_langid_training_text_and_compact_automata(spark):
-    df = spark.createDataFrame([(i, " ".join(f"{a}{b}" for a in "abcdefgh" * 20 for b in "ijklmnop"), "en") for i in range(20)], "doc_id long, text string, lang string")
-    df = df.selectExpr("doc_id", "text || repeat(char(97 + doc_id), cast(doc_id as int)) as text", "lang")
-    text = langid.fit(df)["en"]
-    assert len(text) >= 40_000
-    a = langid.SuffixAutomaton(text[:5_000])
-    assert len(a.many) < len(a.char) / 2
+def plain_phrases(text, known):
+    n = i = 0
+    while i < len(text):
+        j = i + 1
+        while j <= len(text) and text[i:j] in known:
+            j += 1
+        i, n = max(i + 1, j - 1), n + 1
+    return n
+
+
+def test_langid_parses_whole_texts(spark, docs, edge):
+    """Phrase counts, entropies and predictions against a search of every phrase in the labelled text."""
+    texts = langid.fit(docs, chars_per_lang=2_500)
+    assert all(len(t) >= 2_500 for t in texts.values()) and len(texts) == 4
+    model = langid.Model(texts)
+    some = [r.text for r in docs.limit(40).collect()] + [r.text for r in edge.collect() if r.doc_id != 7] + ["ΟΔΟΣ ΟΔΟΣ' Ο", "a" * 50]
+    want = []
+    for t in some:
+        t = re.sub(r"[\x00-\x60\x7B-\x7F]+", " ", (t or "").lower()).strip()
+        parse = {x: plain_phrases(f" {t} ", known) for x, known in texts.items()}
+        assert [a.phrases(f" {t} ") for a in model.automata] == [parse[x] for x in model.langs]
+        cost = {x: n * np.log2(max(2_000, len(texts[x]))) / (len(t) + 2) for x, n in parse.items()}
+        want.append(min(sorted(cost), key=cost.get) if any(map(str.isalpha, t)) else "und")
+    df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df, texts).collect()}
+    assert [got[i] for i in range(len(some))] == want
+    # a phrase is longer than a word
+    longest = max(len(t) for t in texts.values())
+    assert model.automata[0].phrases(texts[model.langs[0]]) == 1 and longest > 2_500
+
+
+def test_langid_bounds_languages(spark, edge):
+    df = spark.createDataFrame([(i, "some text", f"l{i}") for i in range(langid.MAX_LANGS + 1)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(df)
+    out = langid.predict(edge, {"en": " the quick "}, keep=("score", "source"))
+    assert out.columns == ["doc_id", "source", "lang_pred", "score"]
