@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from loomstone.llm import common, decontam, line_dedup, queries, sharding, simhash
 from loomstone.llm.common import scratch
@@ -150,8 +151,28 @@ def test_sharding(spark, docs, edge, nothing):
     assert sharding.external_shuffle(nothing).count() == 0
     order = [r.doc_id for r in sorted(sharding.external_shuffle(docs, 1, bucket_rows=30).collect(), key=lambda r: r.slot)]
     assert sorted(order) == sorted(r.doc_id for r in docs.collect()) and order != sorted(order)
-    path = sharding.write_shards(sharding.external_shuffle(docs, 5), scratch(spark, "s"))
-    assert spark.read.parquet(path).count() == docs.count()
+    got = sharding.write_shards(sharding.external_shuffle(docs, 5, bucket_rows=30), scratch(spark, "s"))
+    assert sorted(map(str, got.drop("shard", "slot").collect())) == sorted(map(str, docs.collect()))
+    # a file holds its rows in the order of their slots
+    files = defaultdict(list)
+    for r in got.select("slot", F.input_file_name().alias("f")).collect():
+        files[r.f].append(r.slot)
+    assert all(s == sorted(s) for s in files.values()) and len(files) > 5
+    assert sharding.write_shards(sharding.external_shuffle(nothing), scratch(spark, "s")).count() == 0
+
+
+def test_equal_rows_are_spread(spark, monkeypatch):
+    """A hot row repeats in all columns: each repetition has its own place, none is lost."""
+    monkeypatch.setattr(sharding, "HOT_ROWS", 100)
+    df = spark.range(1000).selectExpr("if(id % 2 = 0, null, id) as doc_id", "if(id % 2 = 0, null, 'text ' || id) as text", "1 as __n", "2 as __bucket")
+    got = sharding.external_shuffle(df, 7, bucket_rows=50)
+    rows = got.collect()
+    assert sorted(map(str, (r[:2] for r in rows))) == sorted(map(str, (r[:2] for r in df.collect())))
+    per = Counter(r.shard for r in rows)
+    assert max(per.values()) - min(per.values()) <= 1 and sorted(r.slot for r in rows if r.shard == 3) == list(range(per[3]))
+    # buckets are contiguous in the sequence, and no task gets far more than a bucket's rows
+    sizes = got.groupBy(F.spark_partition_id()).count().collect()
+    assert max(r[1] for r in sizes) < 350 and {r.shard for r in rows if r.doc_id is None} == set(range(7))
 
 
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
