@@ -11,10 +11,9 @@ Finding the links, over distinct fingerprints only (equal ones need no pairs):
    quarters make six keys, and linked fingerprints share one.
 2. Within a key, pairs whose whole distances differ by more than two for any pivot are discarded,
    by the triangle inequality, and the survivors are verified bit by bit. Only links leave this step.
-3. Keys with more than ``MAX_KEY`` members (large groups of near copies) are settled exactly without
-   pairs: each member names itself and the 64 fingerprints one bit away. Two fingerprints differ in at
-   most two bits if and only if they name a common one; at most 65 can name it, and they are linked
-   to the least of them.
+3. Members of keys that more than ``MAX_KEY`` share (large groups of near copies) get finer keys, of their
+   distances on every 14 of the 16 sixteenths of the bits, of which linked fingerprints share one as well.
+   Not more than 256 fingerprints can share a finer key, so step 2 is bounded there too, whatever the data.
 
 Components are found by alternating large-star and small-star steps, in tables in the shared folder.
 
@@ -43,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import textvec as tv
-from .common import by_bytes, drop, id_type, load, materialize, small_batches
+from .common import by_bytes, drop, id_type, load, materialize, small, small_batches
 from .textvec import LOWER
 
 SHINGLE = 3
@@ -119,18 +118,39 @@ def links(nodes: DataFrame, max_key: int = MAX_KEY, made: list | None = None) ->
     if made is not None:
         made += [shared, found]
 
-    pivots = "array(" + ", ".join(f"{p}L" if p != -(1 << 63) else "bigint('-9223372036854775808')" for p in PIVOTS) + ")"
-    small = found.filter(F.col("n") <= max_key).groupBy("key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
-    table = small.select(F.expr(f"transform(fps, f -> struct(f as fp, transform({pivots}, p -> bit_count(f ^ p)) as d))").alias("t"))
-    near = f"exists(zip_with(x.d, y.d, (p, q) -> abs(p - q)), e -> e > {MAX_BITS})"
-    pairs = table.select(F.explode(F.expr(f"flatten(transform(t, (x, i) -> transform(filter(slice(t, i + 2, {max_key}), y -> not {near} and bit_count(x.fp ^ y.fp) <= {MAX_BITS}), y -> struct(x.fp as a, y.fp as b))))")).alias("e"))
-    pairs = pairs.select("e.a", "e.b")
-
     crowded = found.filter(F.col("n") > max_key).select("fp").distinct()
-    names = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64)))
-    stars = crowded.select("fp", F.explode(names).alias("name")).groupBy("name").agg(F.collect_list("fp").alias("fps"), F.min("fp").alias("a")).filter(F.size("fps") > 1)
-    stars = stars.select("a", F.explode("fps").alias("b")).filter("a <> b")
-    return pairs.unionByName(stars).distinct()
+    if crowded.take(1):
+        finer = materialize(crowded.select("fp", F.explode(F.expr(_finer_keys())).alias("key")), "simhash-finer-keys")
+        if made is not None:
+            made.append(finer)
+        finer = finer.groupBy("key").agg(F.collect_list("fp").alias("fps")).filter("size(fps) > 1")
+        return _near_pairs(found.filter(F.col("n") <= max_key).groupBy("key").agg(F.collect_list("fp").alias("fps"))).unionByName(_near_pairs(finer)).distinct()
+    return _near_pairs(found.groupBy("key").agg(F.collect_list("fp").alias("fps"))).distinct()
+
+
+def _literal(values: list[int]) -> str:
+    return "array(" + ", ".join(f"{v}L" if v != -(1 << 63) else "bigint('-9223372036854775808')" for v in values) + ")"
+
+
+def _finer_keys() -> str:
+    """For a fingerprint ``fp``: a key of its distances to the pivots on each choice of 14 of the 16 sixteenths of the bits.
+
+    Fingerprints that differ in two bits agree on 14 sixteenths, so linked ones share a key. The distances
+    tell all values of a sixteenth apart, so at most 2**8 fingerprints share one.
+    """
+    parts = _literal([_signed(0xF << (4 * i)) for i in range(16)])
+    left_out = "array(" + ", ".join(f"struct({a} as a, {b} as b)" for a, b in combinations(range(16), 2)) + ")"
+    each = f"transform({parts}, m -> xxhash64(m, transform({_literal(PIVOTS)}, p -> bit_count((fp ^ p) & m))))"
+    both = f"struct({each} as h, aggregate({each}, 0L, (x, y) -> x ^ y) as t)"
+    return f"flatten(transform(array({both}), z -> transform({left_out}, x -> xxhash64(x.a, x.b, z.t ^ z.h[x.a] ^ z.h[x.b]))))"
+
+
+def _near_pairs(groups: DataFrame) -> DataFrame:
+    """The links (a, b) within each group ``fps``: pairs whose distances to a pivot differ too much are discarded, the others verified."""
+    table = groups.select(F.expr(f"transform(array_sort(fps), f -> struct(f as fp, transform({_literal(PIVOTS)}, p -> bit_count(f ^ p)) as d))").alias("t"))
+    near = f"exists(zip_with(x.d, y.d, (p, q) -> abs(p - q)), e -> e > {MAX_BITS})"
+    pairs = table.select(F.explode(F.expr(f"flatten(transform(t, (x, i) -> transform(filter(slice(t, i + 2, size(t)), y -> not {near} and bit_count(x.fp ^ y.fp) <= {MAX_BITS}), y -> struct(x.fp as a, y.fp as b))))")).alias("e"))
+    return pairs.select("e.a", "e.b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -161,18 +181,28 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_key: int = MAX_KEY) -> DataFrame:
     """One row per input row: id, fingerprint (16 hex digits), component_id (least id of the component)."""
     rows = materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "nodes")
     made = [nodes]
     roots = components(links(nodes.select("fp"), max_key, made))
-    classes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    classes = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialize(classes.join(ids, "root").select(F.col("fp").alias("c_fp"), "component_id"), "classes")
+    classes = materialize(classes.join(ids, "root").select(F.col("fp").alias("c_fp"), "component_id", "n"), "classes")
     for table in (*made, roots):
         drop(table)
-    out = rows.join(classes, rows.fp == classes.c_fp)
+    out = _attach(rows, classes)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _attach(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows with their class. Rows of a fingerprint with a thousandth of all rows meet their class by broadcast (there are a thousand such fingerprints at most), so that no task gets them all."""
+    if small(classes):
+        return rows.join(F.broadcast(classes), rows.fp == classes.c_fp)
+    often = max(1, (classes.agg(F.sum("n")).first()[0] or 0) // 1000)
+    hot, cold = F.broadcast(classes.filter(F.col("n") >= often)), classes.filter(F.col("n") < often)
+    few = rows.join(hot, rows.fp == hot.c_fp)
+    return few.unionByName(rows.join(hot, rows.fp == hot.c_fp, "left_anti").join(cold, F.col("fp") == F.col("c_fp")))
+
+
 def gram_sets(column, shingle: int = COPY_SHINGLE) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text of an Arrow column; texts of fewer words are one shingle."""
     b = tv.Batch(column, fold=True)

@@ -66,6 +66,24 @@ def test_links_of_dense_groups(spark, max_key):
     assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
 
 
+def test_finer_keys_are_bounded_and_shared(spark):
+    """Pivot distances tell all values of a sixteenth apart; fingerprints within two bits share a finer key, others rarely."""
+    for i in range(16):
+        seen = {tuple(((v << 4 * i) ^ p & (0xF << 4 * i)).bit_count() for p in simhash.PIVOTS) for v in range(16)}
+        assert len(seen) == 16
+    base = 0x0123456789ABCDEF
+    fps = [base, base ^ 1, base ^ (1 << 62 | 1 << 5), base ^ 0x111]
+    keys = {r.fp: set(r.k) for r in spark.createDataFrame([(f,) for f in fps], "fp long").selectExpr("fp", f"{simhash._finer_keys()} as k").collect()}
+    assert all(len(k) == 120 for k in keys.values())
+    assert keys[base] & keys[base ^ 1] and keys[base] & keys[fps[2]] and not keys[base] & keys[fps[3]]
+
+
+def test_classes_meet_rows_without_broadcast(spark, monkeypatch, docs):
+    want = sorted(map(str, simhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    assert sorted(map(str, simhash.near_duplicates(docs).collect())) == want
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
