@@ -5,7 +5,7 @@ its surface (shapes, symbols, repetition) and hashed word shapes through a small
 attention weights, learned from document labels alone, say how much each passage counts; the weighted
 sum of the encodings is scored. So a document is judged by the passages that decide, however long it is.
 
-Training: at most ``max_train`` labelled documents, those of least hash of the id, in one task. Scoring
+Training: at most ``max_train`` labelled documents and ``max_bytes`` of their texts, those of least hash of the id, in one task. Scoring
 needs no shuffle; its memory is that of one Arrow batch.
 
 Defined results: null, empty and blank texts are one empty passage; without labelled rows every score is
@@ -28,6 +28,8 @@ PASSAGE_WORDS = 64
 SHAPES = 32
 HIDDEN, ATTENTION = 24, 12
 MAX_TRAIN = 8_000
+#: Bytes of text after which no further sample is learned.
+MAX_BYTES = 128 << 20
 EPOCHS = 30
 THRESHOLD = 0.3
 
@@ -173,17 +175,21 @@ class AttentionModel:
         return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN, epochs: int = EPOCHS) -> bytes | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES, epochs: int = EPOCHS) -> bytes | None:
     """The trained model's parameters; None without labelled rows."""
     small_batches(docs.sparkSession)
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).filter("id is not null and y is not null")
     chosen = chosen.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_train)
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    sample = sample.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "text").select("text", "y")
+    sample = sample.groupBy("id", "y").agg(F.min("text").alias("text"))  # rows that repeat an id count once
+    sample = sample.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").select("text", "y")
 
     def run(batches):
-        bags, target = [], []
+        bags, target, size = [], [], 0
         for batch in by_bytes(batches, 0):
+            size += batch.nbytes
+            if bags and size > max_bytes:
+                continue
             x, first = passages(batch.column(0))
             bags += [x[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
             target += batch.column(1).to_pylist()

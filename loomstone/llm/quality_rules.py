@@ -1,7 +1,10 @@
 r"""Repetition-coverage quality rules.
 
 Rolling hashes of several n-gram lengths, in numpy over whole Arrow batches, measure how many of
-a text's characters lie inside duplicated n-grams and duplicated lines.
+a text's characters lie inside duplicated n-grams and duplicated lines. What hashes say is equal is
+compared; should they ever be wrong, the batch is measured again with exact keys.
+
+Working memory is some 60 bytes for each byte of the texts worked on at once, 1 MB or one longer text.
 
 Null, empty or blank texts have no words, all counts 0 and fail the base rule. Words are the runs
 of anything but ``\x20 \x09-\x0D``; lines are split at ``\n``. Repeated input rows are measured
@@ -18,9 +21,9 @@ from . import textvec as tv
 from .common import by_bytes, id_type, small_batches
 
 #: Largest share of a text's word characters that may lie in duplicated n-grams of n words.
-NGRAM_LIMITS = {5: 0.22, 7: 0.20, 10: 0.18}
+NGRAM_LIMITS = {5: 0.15, 7: 0.12, 10: 0.10}
 #: Largest share of a text's word characters that may lie in lines that repeat an earlier line.
-LINE_LIMIT = 0.20
+LINE_LIMIT = 0.15
 BASE_WINDOW = 5
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -29,8 +32,17 @@ _SYMBOL[list(b"#*$%&|<>")] = True
 def measure(column, limits: dict[int, float] = NGRAM_LIMITS, line_limit: float = LINE_LIMIT) -> dict[str, np.ndarray]:
     """The measures of each text of an Arrow string column (or list of texts)."""
     b = tv.Batch(column)
+    try:
+        return _measure(b, limits, line_limit, exact=False)
+    except tv.Collision:
+        return _measure(b, limits, line_limit, exact=True)
+
+
+def _measure(b: tv.Batch, limits: dict[int, float], line_limit: float, exact: bool) -> dict[str, np.ndarray]:
     starts, ends, owner = b.runs(tv.SPACE)
-    words = b.hashes(starts, ends)
+    words = tv.exact_keys(b, starts, ends) if exact else b.hashes(starts, ends)
+    if not exact:
+        tv.check_hashes(b, words, starts, ends)
     n_words = tv.counts_by(owner, b.n).astype(np.int64)
     # code points of each word: its bytes that don't continue another
     lead = np.concatenate([[0], np.cumsum((b.bytes & 0xC0) != 0x80)]).astype(np.int64)
@@ -41,10 +53,14 @@ def measure(column, limits: dict[int, float] = NGRAM_LIMITS, line_limit: float =
     l_start, l_end, l_owner = b.lines()
     before = np.concatenate([[0], np.cumsum(~tv.SPACE[b.bytes])])
     full = np.flatnonzero(before[l_end] > before[l_start])
-    _, later = tv.repeated(b.hashes(l_start[full], l_end[full]), l_owner[full])
-    n_dup_lines = tv.counts_by(l_owner[full], b.n, later).astype(np.int64)
+    l_start, l_end, l_owner = l_start[full], l_end[full], l_owner[full]
+    if exact:
+        _, later = tv.repeated(tv.exact_keys(b, l_start, l_end), l_owner)
+    else:
+        _, later = tv.repeated(b.hashes(l_start, l_end), l_owner, lambda i, j: tv.equal_ranges(b, l_start[i], l_end[i], l_start[j], l_end[j]))
+    n_dup_lines = tv.counts_by(l_owner, b.n, later).astype(np.int64)
     visible = np.concatenate([[0], np.cumsum(((b.bytes & 0xC0) != 0x80) & ~tv.SPACE[b.bytes])])
-    line_chars = tv.counts_by(l_owner[full], b.n, later * (visible[l_end[full]] - visible[l_start[full]]))
+    line_chars = tv.counts_by(l_owner, b.n, later * (visible[l_end] - visible[l_start]))
 
     total = np.maximum(word_chars, 1)
     out = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_dup_lines": n_dup_lines}
@@ -52,7 +68,12 @@ def measure(column, limits: dict[int, float] = NGRAM_LIMITS, line_limit: float =
     bad = out["dup_line_share"] > line_limit
     for n in sorted({BASE_WINDOW, *limits}):
         grams, at = tv.ngrams(words, owner, n)
-        again, _ = tv.repeated(grams, owner[at] if len(at) else at)
+        who = owner[at] if len(at) else at
+        if exact and len(at):
+            grams = np.unique(words[at[:, None] + np.arange(n)], axis=0, return_inverse=True)[1].reshape(-1)
+            again, _ = tv.repeated(grams, who)
+        else:
+            again, _ = tv.repeated(grams, who, lambda i, j: (words[at[i][:, None] + np.arange(n)] == words[at[j][:, None] + np.arange(n)]).all(axis=1))
         covered = np.zeros(len(words) + 1, dtype=np.int64)
         hit = at[again]
         np.add.at(covered, hit, 1)

@@ -131,16 +131,58 @@ def counts_by(owner: np.ndarray, n: int, weights=None) -> np.ndarray:
     return np.bincount(owner, weights=weights, minlength=n)[:n] if len(owner) else np.zeros(n)
 
 
-def repeated(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry: does its key occur elsewhere in the same text, and did it occur earlier there."""
+class Collision(Exception):
+    """Equal hashes of unequal entries."""
+
+
+def equal_ranges(b: Batch, s: np.ndarray, e: np.ndarray, t: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Whether the bytes from s to e are those from t to f, range by range."""
+    same = e - s == f - t
+    raw = b.bytes.tobytes() + bytes(8)
+    words = np.ndarray(shape=(len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
+    for k in range(0, 64, 8):
+        at = np.flatnonzero(same & (e - s > k))
+        if not len(at):
+            return same
+        rest = np.minimum(e[at] - s[at] - k, 8).astype(np.uint64)
+        mask = np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * rest)
+        same[at] = (words[s[at] + k] & mask) == (words[t[at] + k] & mask)
+    for i in np.flatnonzero(same & (e - s > 64)):
+        same[i] = raw[s[i] + 64 : e[i]] == raw[t[i] + 64 : f[i]]
+    return same
+
+
+def check_hashes(b: Batch, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    """Raises Collision if two unequal ranges have the same hash."""
+    order = np.argsort(hashes, kind="stable")
+    i, j = order[:-1], order[1:]
+    both = hashes[i] == hashes[j]
+    i, j = i[both], j[both]
+    if not equal_ranges(b, starts[i], ends[i], starts[j], ends[j]).all():
+        raise Collision
+
+
+def exact_keys(b: Batch, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each range, the same for equal bytes and for them only."""
+    raw, known = b.bytes.tobytes(), {}
+    return np.fromiter((known.setdefault(raw[s:e], len(known)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), dtype=np.uint64, count=len(starts))
+
+
+def repeated(keys: np.ndarray, owner: np.ndarray, same=None) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry: does its key occur elsewhere in the same text, and did it occur earlier there.
+
+    ``same`` tells for two arrays of entries whether they are equal; if keys are but entries are not, Collision is raised.
+    """
     n = len(keys)
     if not n:
         return np.zeros(0, bool), np.zeros(0, bool)
-    both = mix(keys ^ (owner.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-    order = np.argsort(both, kind="stable")
-    same = both[order[1:]] == both[order[:-1]]
+    order = np.lexsort((keys, owner))
+    i, j = order[:-1], order[1:]
+    pair = (keys[i] == keys[j]) & (owner[i] == owner[j])
+    if same is not None and not same(i[pair], j[pair]).all():
+        raise Collision
     again, later = np.zeros(n, bool), np.zeros(n, bool)
-    later[order[1:]] = same
-    again[order[1:]] |= same
-    again[order[:-1]] |= same
+    later[j] = pair
+    again[j] |= pair
+    again[i] |= pair
     return again, later

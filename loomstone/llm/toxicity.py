@@ -5,7 +5,7 @@ hashed to ``2**BITS`` indices, lower-cased A-Z, without punctuation. FTRL-proxim
 a learning rate of its own and, by its L1 term, exact zeros for most; the non-zero weights are a small
 sorted table that is broadcast for scoring.
 
-Training: at most ``max_train`` labelled documents, those of least hash of the id, seen ``epochs`` times
+Training: at most ``max_train`` labelled documents and ``max_bytes`` of their texts, those of least hash of the id, seen ``epochs`` times
 by one task (its memory: the weights' state and the sample's indices). Scoring needs no shuffle.
 
 Defined results: null and empty texts score the bias alone; without labelled rows every score is 0.5;
@@ -24,6 +24,8 @@ from .common import by_bytes, id_type, load, remainder, small_batches
 
 BITS = 20
 MAX_TRAIN = 16_000
+#: Bytes of text after which no further sample is learned.
+MAX_BYTES = 256 << 20
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 1.0
 THRESHOLD = 0.3
@@ -63,17 +65,21 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, epochs: int = EPOCHS, bits: int = BITS) -> dict[int, float]:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES, epochs: int = EPOCHS, bits: int = BITS) -> dict[int, float]:
     """The non-zero weights by index (0: bias)."""
     small_batches(docs.sparkSession)
     chosen = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).filter("id is not null and y is not null")
     chosen = chosen.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_train)
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    sample = sample.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "text").select("text", "y")
+    sample = sample.groupBy("id", "y").agg(F.min("text").alias("text"))  # rows that repeat an id count once
+    sample = sample.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id").select("text", "y")
 
     def run(batches):
-        seen = []
+        seen, size = [], 0
         for batch in by_bytes(batches, 0):
+            size += batch.nbytes
+            if seen and size > max_bytes:
+                continue
             index, owner, n = features(batch.column(0), bits)
             index, owner = _distinct(index, owner, bits)
             cuts = np.searchsorted(owner, np.arange(n + 1))

@@ -1,8 +1,8 @@
 """WARC archives: writing, sequential reading and digest verification.
 
 An archive is a chain of gzip members, one per record. The reader inflates it piece by piece,
-finds each record's end by the content length in its header and checks the payload digest, so its
-memory does not depend on the archive's size.
+finds each record's end by the content length in its header and checks the payload digest; on a cluster
+a task holds one archive at a time (``ARCHIVE_BYTES``, or one larger record).
 
 Equal payloads are stored once: of the records that share a payload of at least ``min_revisit``
 bytes, the one with the largest id is the response and the others are revisits that refer to it.
@@ -20,12 +20,13 @@ import io
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_type, load, materialize, scratch, small_batches
+from .common import broadcast_if_small, drop, id_type, load, materialize, scratch, small_batches
 
 PIECE = 1 << 16
 #: An archive is closed once it holds so many compressed bytes.
@@ -135,7 +136,7 @@ def page_record(page_id, url, payload: bytes, digest: str, length: int, refers_t
     revisit = refers_to is not None
     headers = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
+        ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else quote(str(page_id), safe='')}>"),
         ("WARC-Date", _EPOCH),
         ("WARC-Target-URI", (url or "").replace("\r", "%0D").replace("\n", "%0A")),
         ("Content-Type", "text/html; charset=utf-8"),
@@ -143,14 +144,14 @@ def page_record(page_id, url, payload: bytes, digest: str, length: int, refers_t
         ("X-Payload-Length", str(length)),
     ]
     if revisit:
-        headers += [("WARC-Refers-To", f"<urn:page:{refers_to}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        headers += [("WARC-Refers-To", f"<urn:page:{quote(str(refers_to), safe='')}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
     return encode_record(headers, b"" if revisit else payload, level)
 
 
 def revisits(pages: DataFrame, id_col: str, payload_col: str, min_revisit: int) -> DataFrame:
     """(id, sha, refers_to) of the rows whose payload a row of larger id holds.
 
-    Only digests are shuffled. A payload's rows are first reduced by salted digest, so that no
+    Only digests are shuffled here, and payloads not at all where the result can be broadcast. A payload's rows are first reduced by salted digest, so that no
     task gets all rows of a frequent payload, and the winners return along the salted key.
     """
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
@@ -174,8 +175,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     small_batches(spark)
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary")).alias("payload"))
     base = base.withColumn("sha", F.sha1("payload"))
-    again = revisits(pages, id_col, payload_col, min_revisit).withColumnsRenamed({"id": "r_id", "sha": "r_sha"})
-    rows = base.join(again, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("sha") == F.col("r_sha")), "left")
+    again = materialize(revisits(pages, id_col, payload_col, min_revisit).withColumnsRenamed({"id": "r_id", "sha": "r_sha"}), "revisits")
+    rows = base.join(broadcast_if_small(again), F.col("id").eqNullSafe(F.col("r_id")) & (F.col("sha") == F.col("r_sha")), "left")
     rows = rows.select("id", "url", F.octet_length("payload").alias("len"), "sha", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "refers_to")
 
     def run(batches):
@@ -193,6 +194,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     archives = rows.mapInArrow(run, "archive binary")
     archives.select(F.col("archive").cast("string").alias("value")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).mode("errorifexists").text(path)
+    drop(again)
     return path
 
 
@@ -209,7 +211,7 @@ def read_warc(spark: SparkSession, path: str, id_type: str = "long", with_payloa
     convert = str if id_type == "string" else int
 
     def named(x: str | None):
-        x = (x or "")[len("<urn:page:") : -1]
+        x = unquote((x or "")[len("<urn:page:") : -1])
         return convert(x) if x else None
 
     def out(rows):

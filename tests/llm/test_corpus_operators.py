@@ -143,16 +143,27 @@ def test_decontamination_of_nothing(spark, edge, nothing):
 
 
 def test_line_dedup(spark, edge, nothing):
-    rows = [(i, f"menu\nbody {i}\n\nmenu\nfoot", "h") for i in range(20)] + [(50 + i, "menu\nown", "small") for i in range(3)] + [(90, None, "h"), (91, "", None), (92, "foot\r", "h")]
-    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_ratio=0.5).collect()}
-    assert got[3] == ("body 3\n", 5, 3) and got[50] == ("menu\nown", 2, 0) and got[90] == (None, 0, 0) and got[91] == ("", 1, 0) and got[92] == ("foot\r", 1, 0)
+    rows = [(i, f"menu\nbody {i}\n\nmenu\nfoot", "h") for i in range(20)] + [(50 + i, f"menu\nown {i}", "small") for i in range(3)] + [(60 + i, "same\npage", "copies") for i in range(9)]
+    rows += [(90, None, "h"), (91, "", None), (92, "foot\r", "h")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as __host", "2 as __lines", "3 as n_lines")
+    got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.drop_boilerplate(frame, max_ratio=0.5).collect()}
+    assert got[3] == ("body 3\n", 5, 3) and got[51] == ("own 1", 2, 1) and got[90] == (None, 0, 0) and got[91] == ("", 1, 0) and got[92] == ("foot\r", 1, 0)
+    assert {got[60 + i] for i in range(9)} == {("same\npage", 2, 0)}
     assert line_dedup.drop_boilerplate(edge).count() == edge.count() and line_dedup.drop_boilerplate(nothing).count() == 0
 
 
+def test_planted_lines_go(spark):
+    """With production limits: a line on 3 % of a host's pages goes, one on 1 % stays."""
+    often, seldom = "read the terms of this site before use", "a sentence that a few pages quote"
+    rows = [(i, f"text {i}\n" + (often if i % 33 == 0 else seldom if i % 100 == 1 else f"line {i}"), "h") for i in range(1000)]
+    texts = [r.text for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    assert not any(often in t for t in texts) and sum(seldom in t for t in texts) == sum(seldom in r[1] for r in rows)
+
+
 def test_line_dedup_without_broadcast(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"menu\nbody {i}", None if i % 2 else "h") for i in range(40)], "doc_id long, text string, source string")
     want = sorted(map(tuple, line_dedup.drop_boilerplate(df).collect()))
-    monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     assert sorted(map(tuple, line_dedup.drop_boilerplate(df).collect())) == want and all("menu" not in r[1] for r in want)
 
 
