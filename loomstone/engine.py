@@ -53,6 +53,7 @@ class Engine:
     def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None, default_dialect: str = "tsql"):
         self.spark, self.default_dialect = spark, default_dialect
         self._frames: dict[str, DataFrame] = {}
+        self.constraints: dict[str, script.Constraints] = {}
         functions.register(spark)
         for name, df in (tables or {}).items():
             self.replace(name, df)
@@ -75,6 +76,7 @@ class Engine:
         df.createOrReplaceTempView(name)
 
     def drop(self, name: str, if_exists: bool = False) -> None:
+        self.constraints.pop(name.lower(), None)
         if self._frames.pop(name.lower(), None) is None and not if_exists:
             raise DialectError(f"no table {name}")
         self.spark.catalog.dropTempView(name)
@@ -139,7 +141,7 @@ class Engine:
         items = []
         for s in statements(text, name):
             items += [*s, script.END_OF_STATEMENT]
-        before = dict(self._frames)
+        before, rules = dict(self._frames), dict(self.constraints)
         try:
             return script.Runner(self, name).run(items)
         except Exception:
@@ -147,6 +149,7 @@ class Engine:
                 self.drop(k)
             for k, df in before.items():
                 self.replace(k, df)
+            self.constraints = rules
             raise
 
     def migrate(self, steps: list[Migration], applied: dict[int, str] | None = None, dialect_name: str | None = None) -> dict[int, str]:

@@ -91,7 +91,7 @@ def base64_encode(x):
 
 @rule
 def base64_decode(x):
-    return f"decode(unbase64({x}), 'UTF-8')"
+    return f"cast(unbase64({x}) as string)"  # the bytes are kept, whatever they are
 
 
 @rule
@@ -101,7 +101,7 @@ def hex_encode(x):
 
 @rule
 def hex_decode(x):
-    return f"(case when {x} is null then null when char_length({x}) % 2 = 0 and {x} rlike '^[0-9A-Fa-f]*$' then decode(unhex({x}), 'UTF-8') else raise_error('HEX_DECODE needs an even number of hex digits') end)"
+    return f"(case when {x} is null then null when char_length({x}) % 2 = 0 and {x} rlike '^[0-9A-Fa-f]*$' then cast(unhex({x}) as string) else raise_error('HEX_DECODE needs an even number of hex digits') end)"
 
 
 @rule

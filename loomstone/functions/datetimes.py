@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from .strings import quote, text, unquote
 
 FUNCTIONS = {}
@@ -32,8 +34,19 @@ def part_of(p: str) -> str:
 
 
 def ts(x: str) -> str:
-    """Strict: raises on text that is no instant."""
-    return f"cast({x} as timestamp)"
+    """Strict: raises on text that is no instant.
+
+    Texts may also be ``yyyyMMdd`` or ``MM/dd/yyyy``, whole numbers are days since 1900-01-01. The type is
+    known when the query is planned, so that for timestamps and dates only the cast is left.
+    """
+    if not re.fullmatch(r"[\w.`]+|'[^']*'|-?[0-9]+", x.strip()):
+        return f"cast({x} as timestamp)"
+    t = text(x)
+    return (
+        f"(case when typeof({x}) in ('tinyint', 'smallint', 'int', 'bigint') then timestamp_micros((try_cast({t} as bigint) - 25567) * 86400000000)"
+        f" when typeof({x}) = 'string' and {t} rlike '^[0-9]{{8}}$' then to_timestamp({t}, 'yyyyMMdd')"
+        f" when typeof({x}) = 'string' and {t} rlike '^[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}$' then to_timestamp({t}, 'M/d/yyyy') else cast({x} as timestamp) end)"
+    )
 
 
 def soft(x: str) -> str:
@@ -47,7 +60,8 @@ def iso_ms(x: str) -> str:
 
 def render(x: str, like: str | None = None) -> str:
     """An instant as text; a date alone where ``like`` is a date or a date's text."""
-    whole = f"date_format({x}, 'yyyy-MM-dd HH:mm:ss')"
+    part = f"pmod(unix_micros({x}), 1000000)"
+    whole = f"(case when {part} = 0 then date_format({x}, 'yyyy-MM-dd HH:mm:ss') when {part} % 1000 = 0 then date_format({x}, 'yyyy-MM-dd HH:mm:ss.SSS') else date_format({x}, 'yyyy-MM-dd HH:mm:ss.SSSSSS') end)"
     if like is None:
         return whole
     return f"(case when char_length(trim({text(like)})) <= 10 then date_format({x}, 'yyyy-MM-dd') else {whole} end)"
@@ -129,7 +143,8 @@ def datefromparts(y, m, d):
 
 @rule
 def timefromparts(h, m, s, f="0", p="0"):
-    return f"format_string('%02d:%02d:%02d', {h}, {m}, {s})"
+    fraction = f", if({p} > 0, concat('.', lpad(cast({f} as string), {p}, '0')), '')"
+    return f"concat(format_string('%02d:%02d:%02d', {h}, {m}, {s}){fraction if p != '0' else ''})"
 
 
 @rule
@@ -206,7 +221,7 @@ def datetrunc(p, x):
     if kind == "week":
         return f"date_format(timestamp_micros(unix_micros(date_trunc('WEEK', timestamp_micros(unix_micros({t}) + {_MICROS['day']}))) - {_MICROS['day']}), 'yyyy-MM-dd HH:mm:ss')"
     unit = {"iso_week": "WEEK", "dayofyear": "DAY", "weekday": "DAY"}.get(kind, kind.upper())
-    return f"date_format(date_trunc('{unit}', {t}), 'yyyy-MM-dd HH:mm:ss')"
+    return render(f"date_trunc('{unit}', {t})")
 
 
 @rule

@@ -17,7 +17,7 @@ def json_valid(j):
     return f"cast(try_parse_json({text(j)}) is not null as int)"
 
 
-FUNCTIONS["isjson"] = json_valid
+FUNCTIONS["isjson"] = FUNCTIONS["json_valid_strict"] = json_valid
 
 
 @rule
@@ -27,7 +27,15 @@ def json_extract(j, *paths):
     return f"to_json(array({', '.join(f'get_json_object({text(j)}, {p})' for p in paths)}))"
 
 
-FUNCTIONS["json_value"] = FUNCTIONS["json_query"] = lambda j, p="'$'": json_extract(j, p)
+FUNCTIONS["json_query"] = lambda j, p="'$'": json_extract(j, p)
+
+
+@rule
+def json_value(j, p="'$'"):
+    """A scalar as text; truth values as 1 and 0."""
+    v = json_extract(j, p)
+    kind = f"schema_of_variant(try_variant_get(try_parse_json({text(j)}), {p}, 'variant'))"
+    return f"(case when {v} in ('true', 'false') and {kind} = 'BOOLEAN' then if({v} = 'true', '1', '0') else {v} end)"
 
 
 @rule
@@ -86,6 +94,6 @@ def json_object(*a):
 
 FUNCTIONS["json_build_object"] = FUNCTIONS["jsonb_build_object"] = json_object
 
-for _name, _udf in {"json_pretty": "ls_json_pretty", "json_merge_patch": "ls_json_merge_patch", "json_contains": "ls_json_contains", "json_strip_nulls": "ls_json_strip_nulls", "json_modify": "ls_json_set", "json_set": "ls_json_set", "json_insert": "ls_json_insert", "json_replace": "ls_json_replace", "json_remove": "ls_json_remove", "json_minify": "ls_json_minify", "json": "ls_json_minify", "json_quote": "ls_json_quote"}.items():
+for _name, _udf in {"json_pretty": "ls_json_pretty", "json_merge_patch": "ls_json_merge_patch", "json_contains": "ls_json_contains", "json_strip_nulls": "ls_json_strip_nulls", "json_modify": "ls_json_set", "json_set": "ls_json_set", "json_insert": "ls_json_insert", "json_replace": "ls_json_replace", "json_remove": "ls_json_remove", "json_minify": "ls_json_minify", "json": "ls_json_minify", "json_quote": "ls_json_quote", "json_depth": "ls_json_depth", "json_length_deep": "ls_json_length_deep"}.items():
     FUNCTIONS[_name] = lambda *a, u=_udf: f"{u}({', '.join(text(x) for x in a)})"
 FUNCTIONS["json_patch"] = FUNCTIONS["json_merge_patch"]

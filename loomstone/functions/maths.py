@@ -298,9 +298,13 @@ def convert(declared: str, x: str, style: str | None = None) -> str:
         return cast(x, declared)
     number = int(style)
     if spark == "string":
-        if number in (1, 2) and n is None and False:
-            return text(x)
         out = datetimes.convert_date_style(x, number)
+        if number in (0, 1, 2):
+            # of a number: 2 decimals, with commas, or 4 decimals; the type is known when the query is planned
+            value = f"try_cast({text(x)} as double)"
+            shown = f"format_number({value}, {4 if number == 2 else 2})"
+            shown = shown if number == 1 else f"replace({shown}, ',', '')"
+            out = f"(case when typeof({x}) in ('tinyint', 'smallint', 'int', 'bigint', 'float', 'double') or typeof({x}) like 'decimal%' then {shown} else {out} end)"
         return f"left({out}, {n})" if n else out
     if spark in ("date", "timestamp"):
         return f"cast({datetimes.parse_date_style(x, number)} as {spark})"

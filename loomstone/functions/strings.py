@@ -286,7 +286,7 @@ def unicode(t):
 
 @rule
 def nchar(n):
-    return f"decode(unhex(lpad(hex(cast({n} as bigint)), 8, '0')), 'utf-32be')"
+    return f"decode(unhex(lpad(hex(cast({n} as bigint)), 8, '0')), 'UTF-32')"
 
 
 FUNCTIONS["char"] = FUNCTIONS["chr"] = nchar

@@ -132,9 +132,29 @@ def json_quote(t: str) -> str:
 
 def parsename(name: str, i: int) -> str | None:
     """The i-th part of a dotted name from the right; parts may be bracketed or quoted."""
-    parts = re.findall(r'\[((?:[^\]]|\]\])*)\]|"((?:[^"]|"")*)"|([^.\[\]"]+)', name)
+    parts = re.findall(r'(?:^|\.)(?:\[((?:[^\]]|\]\])*)\]|"((?:[^"]|"")*)"|([^.\[\]"]*))', name)
     values = [a.replace("]]", "]") or b.replace('""', '"') or c for a, b, c in parts]
-    return values[-int(i)] if 1 <= i <= len(values) <= 4 else None
+    return values[-int(i)] or None if 1 <= i <= len(values) <= 4 else None
+
+
+def json_depth(t: str) -> int | None:
+    """Levels of nesting; scalars and empty containers are one."""
+    ok, value = _parse(t)
+
+    def depth(v) -> int:
+        return 1 + max(map(depth, v.values() if isinstance(v, dict) else v), default=0) if isinstance(v, dict | list) else 1
+
+    return depth(value) if ok else None
+
+
+def json_length_deep(t: str) -> int | None:
+    """Scalars at any level."""
+    ok, value = _parse(t)
+
+    def leaves(v) -> int:
+        return sum(map(leaves, v.values() if isinstance(v, dict) else v)) if isinstance(v, dict | list) else 1
+
+    return leaves(value) if ok else None
 
 
 def unistr(t: str) -> str:
@@ -248,6 +268,8 @@ TABLE = {
     "ls_json_replace": (_changer("replace"), "string", 3),
     "ls_json_remove": (_changer("remove"), "string", 2),
     "ls_json_quote": (json_quote, "string", 1),
+    "ls_json_depth": (json_depth, "int", 1),
+    "ls_json_length_deep": (json_length_deep, "int", 1),
     "ls_parsename": (parsename, "string", 2),
     "ls_unistr": (unistr, "string", 1),
     "ls_regexp_instr": (regexp_instr, "int", 6),

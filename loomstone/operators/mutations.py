@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lexer import DialectError
@@ -99,14 +99,23 @@ def merge(target: DataFrame, source: DataFrame, on: str | Sequence[str], clauses
     """
     t, s = target.withColumn("__t", F.lit(True)).alias("t"), source.withColumn("__s", F.lit(True)).alias("s")
     cond = F.expr(on) if isinstance(on, str) else [F.col(f"t.{k}") == F.col(f"s.{k}") for k in on]
-    both = t.join(s, cond, "full")
+    if isinstance(on, str):
+        # whether a target row is met twice is seen by its number; rows without one are spread
+        t = target.withColumn("__t", F.lit(True)).withColumn("__at", F.monotonically_increasing_id()).alias("t")
+        both = t.join(s, cond, "full").withColumn("__at", F.coalesce("t.__at", -1 - F.monotonically_increasing_id()))
+        both = both.withColumn("__times", F.count(F.lit(1)).over(Window.partitionBy("__at")))
+    else:
+        # the same partitioning as that of the join: no further shuffle
+        s = source.withColumn("__s", F.lit(True)).withColumn("__times", F.count(F.lit(1)).over(Window.partitionBy(*on))).alias("s")
+        both = t.join(s, cond, "full").withColumn("__times", F.coalesce("s.__times", F.lit(1)))
     kinds = {"matched": F.col("t.__t") & F.col("s.__s"), "not_matched": F.col("t.__t").isNull(), "not_matched_by_source": F.col("s.__s").isNull()}
     chosen = F.lit(None).cast("int")
     for i in reversed(range(len(clauses))):
         c = clauses[i]
         hit = kinds[c.kind] & (F.coalesce(F.expr(c.condition), F.lit(False)) if c.condition else F.lit(True))
         chosen = F.when(F.coalesce(hit, F.lit(False)), F.lit(i)).otherwise(chosen)
-    both = both.withColumn("__clause", chosen)
+    twice = kinds["matched"] & (F.col("__times") > 1) & chosen.isNotNull()
+    both = both.withColumn("__clause", F.when(twice, F.raise_error(F.lit("MERGE would change a row more than once")).cast("int")).otherwise(chosen))
     columns = []
     for f in target.schema:
         value = F.col(f"t.{f.name}")
@@ -124,13 +133,6 @@ def merge(target: DataFrame, source: DataFrame, on: str | Sequence[str], clauses
     return out.filter(~F.col("merge_action").eqNullSafe("DELETE")).drop("merge_action")
 
 
-def check_single_match(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> None:
-    """Raise if two source rows share a key that the target has."""
-    twice = source.groupBy(*keys).count().filter("count > 1").join(target.select(*keys), list(keys), "left_semi")
-    if twice.limit(1).count():
-        raise DialectError("MERGE would change a row more than once")
-
-
 def violations(df: DataFrame, unique: Sequence[Sequence[str]] = (), not_null: Sequence[str] = (), checks: dict[str, str] | None = None, references: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
     """(rule, n) of the constraints that rows break: unique keys, NOT NULL, CHECK and foreign keys."""
     parts = []

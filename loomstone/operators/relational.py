@@ -58,12 +58,15 @@ def as_of_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: st
     """Each left row with the named columns of the last right row of its key at or before it.
 
     One shuffle by key of the union of both sides, and a running last value: no pairs are formed.
+    Left rows without a key or time find nothing; right rows without them are not found.
     """
     prefix = "__r_"
+    right = right.dropna(subset=[*by, right_on])
     l = left.select(*by, F.col(left_on).alias("__at"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"), F.lit(None).cast(right.select(F.struct(*columns).alias("x")).schema["x"].dataType).alias(prefix))  # noqa: E741
     r = right.select(*by, F.col(right_on).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType).alias("__row"), F.struct(*columns).alias(prefix))
     w = Window.partitionBy(*by).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = l.unionByName(r).withColumn(prefix, F.last(prefix, ignorenulls=True).over(w)).filter("__side = 1")
+    found = found.withColumn(prefix, F.when(F.col("__at").isNotNull(), F.col(prefix)))
     return found.select("__row.*", *(F.col(f"{prefix}.{c}").alias(c if c not in left.columns else f"{c}_right") for c in columns))
 
 

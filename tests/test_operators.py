@@ -34,8 +34,8 @@ def test_update_delete_keep_unknown_conditions(table):
 
 def test_double_match_and_violations(spark, table):
     twice = spark.createDataFrame([(1,), (1,)], "id long")
-    with pytest.raises(DialectError):
-        mutations.check_single_match(table, twice, ["id"])
+    with pytest.raises(Exception, match="more than once"):
+        mutations.merge(table, twice, ["id"], [mutations.When("matched", "delete")]).collect()
     bad = mutations.violations(table.union(table), unique=[["id"]], not_null=["v"], checks={"small": "v < 20"}, references={"id": (twice, "id")})
     assert dict(got(bad)) == {"unique(id)": 3, "not null v": 2, "check small": 2, "references id": 4}
 
