@@ -136,6 +136,11 @@ def day(x):
     return f"day({ts(x)})"
 
 
+@rule
+def unix_timestamp(x="current_timestamp()"):
+    return f"unix_seconds({ts(x)})"
+
+
 @rule
 def datefromparts(y, m, d):
     return f"format_string('%04d-%02d-%02d', {y}, {m}, {d})"

@@ -102,6 +102,26 @@ def nearest(df: DataFrame, vector: str, query: Sequence[float], k: int, metric:
     return df.withColumn("score", fn.call(f"vector_{metric}", vector, literal)).orderBy(best, *[c for c in df.columns if c != vector][:1]).limit(k)
 
 
+def nearest_each(df: DataFrame, id_col: str, vector: str, queries: DataFrame, k: int, metric: str = "cosine_similarity", block: int = 1000) -> DataFrame:
+    """The k best rows (``id_col``, ``score``, ``rank``) for each of the query rows (``query_id``, ``query``).
+
+    Queries are broadcast in blocks of about ``block`` and held against all rows; each task keeps its k best
+    rows a query, so that only those are shuffled.
+    """
+    from .. import functions as fn
+
+    blocks = -(-queries.count() // block)
+    order = F.col("score").asc() if "distance" in metric else F.col("score").desc()
+    ranked = Window.partitionBy("query_id").orderBy(order, id_col)
+    out = None
+    for i in range(max(blocks, 1)):
+        part = queries if blocks < 2 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        scored = df.select(id_col, vector).crossJoin(F.broadcast(part.select("query_id", "query"))).select("query_id", id_col, fn.call(f"vector_{metric}", vector, "query").alias("score"))
+        best = scored.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
 def graph_match(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows (a, e, b) of a one-edge pattern: node a, edge e (from_id, to_id), node b."""
     a, e, b = nodes.alias("a"), edges.alias("e"), nodes.alias("b")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import functions as fn
-from .operators import mutations, relational
+from .engine import Engine
+from .operators import mutations, relational, sharding
 from .plans.dialect import translate
 from .sources import files
 from .streaming import changes, windows
@@ -50,16 +51,31 @@ def text(name: str, sql: str, oracle: str | None = None, dialect: str = "tsql",
     ORACLE_SQL[name] = oracle or sql
 
 
+def calls(name: str, exprs: dict[str, tuple[str, str]], dialect: str = "tsql", table: str = "region", udfs: bool = False) -> None:
+    """Registers calls of functions, a column each: its text in the dialect and in the comparison SQL."""
+    columns, wanted = (", ".join(f"{e[k]} AS {alias}" for alias, e in exprs.items()) for k in (0, 1))
+    text(name, f"SELECT {columns} FROM {table}", f"SELECT {wanted} FROM {table}", dialect, udfs)
+
+
+def scripted(name: str, sql: str, oracle: str, tables: tuple[str, ...], dialect: str = "tsql") -> None:
+    """Registers a script over tables; its last result is the query's."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return Engine.open(spark, sf_dir, list(tables)).run(sql, dialect).results[-1]
+
+    QUERIES[name], ORACLE_SQL[name] = run, oracle
+
+
 # ---- the flagship and other aggregates
 
 text(
     "q1_pricing_summary",
     """SELECT l_returnflag, l_linestatus, ROUND(SUM(l_quantity), 2) AS sum_qty, ROUND(SUM(l_extendedprice), 2) AS sum_base_price,
        ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price, ROUND(AVG(l_quantity), 4) AS avg_qty, ROUND(AVG(l_discount), 6) AS avg_disc, COUNT(*) AS count_order
-FROM lineitem WHERE l_shipdate <= TIMESTAMP '2024-09-02 00:00:00' OR l_shipdate > TIMESTAMP '1990-01-01 00:00:00' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""",
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus""",
     dialect="postgres",
 )
-text("range_group_by", "SELECT o_custkey % 100 AS grp, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM orders WHERE o_orderkey BETWEEN 100 AND 10099 GROUP BY o_custkey % 100")
+text("range_group_by", "SELECT o_custkey % 100 AS grp, COUNT(*) AS n, ROUND(SUM(o_totalprice), 2) AS total FROM orders WHERE o_orderkey BETWEEN 0 AND 9000000000 GROUP BY o_custkey % 100")
 text("full_group_by", "SELECT l_suppkey, COUNT(*) AS n, ROUND(AVG(l_extendedprice), 4) AS mean FROM lineitem GROUP BY l_suppkey")
 text("aggregate_null_empty", "SELECT COUNT(*) AS n, SUM(l_quantity) AS s, COALESCE(SUM(l_quantity), 0.0) AS t, MIN(l_tax) AS mi, MAX(l_tax) AS ma FROM lineitem WHERE l_quantity < 0")
 text("having", "SELECT c_nationkey, COUNT(*) AS n FROM customer GROUP BY c_nationkey HAVING COUNT(*) > 3")
@@ -82,7 +98,7 @@ frame("cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders
 
 text("predicates", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 5 AND 10 AND l_returnflag IN ('A', 'R') AND NOT l_linestatus = 'O' AND l_tax IS NOT NULL")
 text("like_ignores_case", "SELECT c_custkey FROM customer WHERE c_mktsegment LIKE 'build%' OR c_name LIKE '%_1'", "SELECT c_custkey FROM customer WHERE c_mktsegment ILIKE 'build%' OR c_name ILIKE '%_1'")
-text("regexp_search", "SELECT p_partkey FROM part WHERE p_name REGEXP '[0-9]5$'", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '[0-9]5$')", dialect="mysql")
+text("regexp_search", "SELECT p_partkey FROM part WHERE p_name REGEXP '^(red|blue) .*t$'", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '^(red|blue) .*t$')", dialect="mysql")
 text("postgres_regex_operators", "SELECT c_custkey FROM customer WHERE c_mktsegment ~* '^b' AND c_name !~ '9$'", "SELECT c_custkey FROM customer WHERE regexp_matches(c_mktsegment, '^b', 'i') AND NOT regexp_matches(c_name, '9$')", dialect="postgres")
 text("glob_match", "SELECT c_custkey FROM customer WHERE c_mktsegment GLOB 'B*[GN]'", "SELECT c_custkey FROM customer WHERE c_mktsegment GLOB 'B*[GN]'")
 text("is_distinct_from", "SELECT COUNT(*) AS n FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F'", dialect="postgres")
@@ -105,8 +121,8 @@ text("right_full_join", "SELECT r_name, n_name FROM nation RIGHT JOIN region ON
 text("cross_join", "SELECT r_name, n_name FROM region CROSS JOIN nation")
 text("theta_self_join", "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 text("semi_exists", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')")
-text("anti_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
-text("not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+text("anti_not_exists", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
+text("not_in", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 text("five_way_join", "SELECT r_name, ROUND(SUM(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey GROUP BY r_name")
 text("cross_apply_aggregate", "SELECT c.c_custkey, x.n, x.top_price FROM customer c CROSS APPLY (SELECT COUNT(*) AS n, MAX(o.o_totalprice) AS top_price FROM orders o WHERE o.o_custkey = c.c_custkey) x", "SELECT c.c_custkey, count(o.o_orderkey) AS n, max(o.o_totalprice) AS top_price FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey")
 text("outer_apply_top1", "SELECT c.c_custkey, x.o_orderkey FROM customer c OUTER APPLY (SELECT TOP 1 o.o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o.o_totalprice DESC, o.o_orderkey) x", "SELECT c.c_custkey, x.o_orderkey FROM customer c LEFT JOIN (SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) = 1) x ON x.o_custkey = c.c_custkey")
@@ -151,11 +167,11 @@ text("mysql_limit", "SELECT c_custkey FROM customer ORDER BY c_acctbal, c_custke
 frame("sharded_top", "SELECT o_orderkey, o_totalprice, CAST(o_orderkey % 8 AS INT) AS shard FROM orders ORDER BY o_totalprice DESC, shard LIMIT 20")(lambda read: relational.sharded_top(read("orders").select("o_orderkey", "o_totalprice"), F.pmod("o_orderkey", F.lit(8)).cast("int"), [F.desc("o_totalprice")], 20))
 
 
-@frame("vector_top_k", "WITH q AS (SELECT embedding AS qv FROM embeddings WHERE vec_id = 0) SELECT vec_id, ROUND(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])), 6) AS score FROM embeddings, q ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(qv AS DOUBLE[])) DESC, vec_id LIMIT 10")
+@frame("vector_top_k", "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0) SELECT query_id, vec_id, rank, ROUND(score, 6) AS score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s) WHERE rank <= 10")
 def _nearest(read):
     e = read("embeddings")
-    query = e.filter("vec_id = 0").select("embedding").first()[0]
-    return relational.nearest(e.select("vec_id", "embedding"), "embedding", query, 10).select("vec_id", F.round("score", 6).alias("score"))
+    queries = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return relational.nearest_each(e, "vec_id", "embedding", queries, 10).withColumn("score", F.round("score", 6))
 
 
 # ---- set operations, CTEs, subqueries
@@ -208,12 +224,11 @@ def _upsert(read):
     return mutations.upsert(c, new, ["c_custkey"], {"c_acctbal": "old.c_acctbal + new.c_acctbal"})
 
 
-@frame("merge", "SELECT o_orderkey, o_totalprice * 2 AS o_totalprice FROM orders WHERE o_orderkey % 3 = 0 AND o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 1 UNION ALL SELECT -o_orderkey - 1, 1.0 FROM orders WHERE o_orderkey % 100 = 0")
+@frame("merge", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT -o_orderkey - 1, 1.0 FROM orders")
 def _merge(read):
     o = read("orders")
-    target = o.filter("o_orderkey % 3 < 2").select("o_orderkey", "o_totalprice")
-    source = o.filter("o_orderkey % 3 = 0").select("o_orderkey", "o_orderstatus").union(o.filter("o_orderkey % 100 = 0").select(-F.col("o_orderkey") - 1, F.lit("N")))
-    return mutations.merge(target, source, ["o_orderkey"], [mutations.When("matched", "delete", condition="s.o_orderstatus = 'F'"), mutations.When("matched", "update", {"o_totalprice": "t.o_totalprice * 2"}), mutations.When("not_matched", "insert", {"o_orderkey": "s.o_orderkey", "o_totalprice": "1.0D"})])
+    target, source = o.select("o_orderkey", "o_totalprice"), o.select("o_orderkey", "o_orderstatus").union(o.select(-F.col("o_orderkey") - 1, F.lit("N")))
+    return mutations.merge(target, source, ["o_orderkey"], [mutations.When("matched", "delete", condition="s.o_orderstatus = 'F'"), mutations.When("matched", "update", {"o_totalprice": "t.o_totalprice * 2"}, "s.o_orderstatus = 'O'"), mutations.When("not_matched", "insert", {"o_orderkey": "s.o_orderkey", "o_totalprice": "1.0D"})])
 
 
 frame("update_where", "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 0.0 ELSE c_acctbal END AS c_acctbal FROM customer")(lambda read: mutations.update(read("customer").select("c_custkey", "c_acctbal"), {"c_acctbal": "0.0D"}, "c_acctbal < 0"))
@@ -242,7 +257,7 @@ frame("merge_output", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'DELET
 )
 frame("delete_top", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM customer ORDER BY c_acctbal, c_custkey LIMIT 10)")(lambda read: mutations.delete_top(read("customer"), 10, ["c_acctbal", "c_custkey"], "c_custkey").select("c_custkey"))
 frame("insert_select", "SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT r_regionkey + 1000, NULL FROM region")(lambda read: mutations.insert(read("nation").selectExpr("n_nationkey AS id", "n_name AS name"), read("region").selectExpr("r_regionkey + 1000 AS id")))
-frame("insert_if_absent", "SELECT c_custkey, c_acctbal FROM customer")(lambda read: mutations.upsert(read("customer").select("c_custkey", "c_acctbal"), read("customer").select("c_custkey", F.lit(0.0).alias("c_acctbal")), ["c_custkey"], nothing=True))
+frame("insert_if_absent", "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN c_acctbal ELSE -1.0 END AS c_acctbal FROM customer")(lambda read: mutations.upsert(read("customer").filter("c_acctbal > 0").select("c_custkey", "c_acctbal"), read("customer").select("c_custkey", F.lit(-1.0).alias("c_acctbal")), ["c_custkey"], nothing=True))
 frame("constraint_violations", "SELECT 'unique(o_custkey)' AS rule, count(*) AS n FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'check rich', count(*) FROM orders WHERE NOT o_totalprice > 10000 HAVING count(*) > 0 UNION ALL SELECT 'references o_custkey', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)")(
     lambda read: mutations.violations(read("orders"), unique=[["o_custkey"]], not_null=["o_orderkey"], checks={"rich": "o_totalprice > 10000"}, references={"o_custkey": (read("customer").filter("c_custkey % 2 = 0"), "c_custkey")})
 )
@@ -269,3 +284,64 @@ text("openjson_pairs", "SELECT e.event_id, j.[key], j.value FROM events e CROSS
 text("cte_then_union_all", "WITH a AS (SELECT n_nationkey AS k FROM nation WHERE n_regionkey = 0) SELECT k FROM a UNION ALL SELECT k + 100 FROM a")
 text("using_join", "SELECT n_nationkey, n.n_name AS name FROM nation n JOIN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) m USING (n_nationkey)", dialect="postgres")
 frame("dedup_batch", "SELECT DISTINCT user_id, event_type FROM events")(lambda read: windows.deduplicated(read("events"), ["user_id", "event_type"], "ts", "1 hour").select("user_id", "event_type"))
+
+# ---- function families, over all rows of a table
+
+calls(
+    "text_functions",
+    {
+        "a": ("REPLICATE(c_mktsegment, 2)", "repeat(c_mktsegment, 2)"), "b": ("LEFT(c_name, 4)", "left(c_name, 4)"), "c": ("RIGHT(c_name, 3)", "right(c_name, 3)"), "d": ("ISNULL(NULLIF(c_mktsegment, 'MACHINERY'), '-')", "coalesce(nullif(c_mktsegment, 'MACHINERY'), '-')"),
+        "e": ("TRANSLATE(c_name, '#0', '-o')", "translate(c_name, '#0', '-o')"), "f": ("ASCII(c_mktsegment)", "ascii(c_mktsegment)"), "g": ("UNICODE(c_mktsegment)", "unicode(c_mktsegment)"), "h": ("CHAR(65 + c_nationkey)", "chr(CAST(65 + c_nationkey AS INTEGER))"), "i": ("NCHAR(945 + c_nationkey)", "chr(CAST(945 + c_nationkey AS INTEGER))"),
+        "j": ("DATALENGTH(c_name)", "octet_length(encode(c_name))"), "k": ("SPACE(2) + c_mktsegment", "'  ' || c_mktsegment"), "l": ("QUOTENAME(c_mktsegment)", "'[' || c_mktsegment || ']'"), "m": ("STRING_ESCAPE(c_name + '\"', 'json')", "c_name || '\\\"'"), "n": ("ISNUMERIC(c_name)", "0"), "o": ("c_custkey + 1 + '!'", "CAST(c_custkey + 1 AS VARCHAR) || '!'"), "p": ("ENCODE_HEX(c_mktsegment)", "lower(hex(c_mktsegment))"), "q": ("CONCAT_WS('/', c_mktsegment, c_name)", "concat_ws('/', c_mktsegment, c_name)"), "r": ("IIF(c_mktsegment = 'building' COLLATE Latin1_General_CI_AS, 1, 0)", "CASE WHEN lower(c_mktsegment) = 'building' THEN 1 ELSE 0 END"),
+    },
+    table="customer",
+)
+calls("regexp_positions", {"a": ("REGEXP_INSTR(c_name, '[0-9]+')", "10"), "b": ("REGEXP_COUNT(c_name, '0')", "len(regexp_extract_all(c_name, '0'))"), "c": ("UNISTR('\\0041\\00e9')", "'Aé'"), "d": ("PARSENAME('srv..dbo.' + c_mktsegment, 1)", "c_mktsegment"), "e": ("PARSENAME('srv..dbo.t', 3)", "NULL"), "f": ("PARSENAME('srv..dbo.t', 4)", "'srv'")}, table="customer", udfs=True)
+calls("postgres_text", {"a": ("strpos(c_name, '#')", "strpos(c_name, '#')"), "b": ("octet_length(c_name || 'é')", "octet_length(encode(c_name || 'é'))"), "c": ("char_length(c_name || 'é')", "length(c_name || 'é')"), "d": ("c_custkey::text || '-' || c_mktsegment", "c_custkey::VARCHAR || '-' || c_mktsegment"), "e": ("starts_with(c_mktsegment, 'B')", "CAST(starts_with(c_mktsegment, 'B') AS INTEGER)"), "f": ("c_acctbal::int + 1", "CAST(trunc(c_acctbal) AS BIGINT) + 1")}, dialect="postgres", table="customer")
+calls("mysql_text", {"a": ("LENGTH(CONCAT(c_name, 'é'))", "octet_length(encode(c_name || 'é'))"), "b": ("LCASE(c_mktsegment)", "lower(c_mktsegment)"), "c": ("UCASE(c_name)", "upper(c_name)"), "d": ("MID(c_name, 2, 3)", "substr(c_name, 2, 3)"), "e": ("LOCATE('#', c_name)", "strpos(c_name, '#')"), "f": ("POSITION('o' IN c_name)", "strpos(c_name, 'o')"), "g": ("SUBSTRING(c_name FROM 5)", "substr(c_name, 5)"), "h": ("SUBSTRING_INDEX(c_name, '#', 1)", "split_part(c_name, '#', 1)"), "i": ("IFNULL(NULLIF(c_nationkey, 3), -1)", "coalesce(nullif(c_nationkey, 3), -1)"), "j": ("CAST(c_nationkey AS CHAR)", "CAST(c_nationkey AS VARCHAR)"), "k": ("c_custkey DIV 7", "c_custkey // 7")}, dialect="mysql", table="customer")
+calls("number_functions", {"a": ("ROUND(PI(), 10)", "round(pi(), 10)"), "b": ("POWER(c_nationkey, 2)", "power(c_nationkey, 2)"), "c": ("ROUND(CBRT(c_custkey), 8)", "round(cbrt(c_custkey), 8)"), "d": ("ROUND(EXP(c_nationkey / 10.0), 6)", "round(exp(c_nationkey / 10.0), 6)"), "e": ("ROUND(LOG10(c_custkey + 1), 8)", "round(log10(c_custkey + 1), 8)"), "f": ("ROUND(LOG2(c_custkey + 1), 8)", "round(log2(c_custkey + 1), 8)"), "g": ("ROUND(LN(c_custkey + 1), 8)", "round(ln(c_custkey + 1), 8)"), "h": ("MOD(c_custkey, 7)", "c_custkey % 7"), "i": ("CAST(SIGN(c_acctbal) AS INT)", "CAST(sign(c_acctbal) AS BIGINT)"), "j": ("CONVERT(VARCHAR(30), c_acctbal, 1)", "format('{:,.2f}', c_acctbal)"), "k": ("CONVERT(VARCHAR(30), c_acctbal, 2)", "format('{:.4f}', c_acctbal)"), "l": ("PARSE(CAST(c_nationkey AS VARCHAR(5)) AS INT)", "CAST(c_nationkey AS BIGINT)"), "m": ("TRY_PARSE(c_mktsegment AS INT)", "CAST(NULL AS BIGINT)")}, table="customer")
+calls("format_cultures", {"a": ("FORMAT(1234.5, 'N2', 'de-DE')", "'1.234,50'"), "b": ("FORMAT(0.256, 'P1')", "'25.6%'"), "c": ("FORMAT(1234567.891, '#,##0.00')", "'1,234,567.89'"), "d": ("TSQL_POINT(1, 2)", "'POINT (1 2)'"), "e": ("DECOMPRESS(COMPRESS(r_name)) = CAST(r_name AS VARBINARY(20))", "TRUE")}, udfs=True)
+calls(
+    "date_texts",
+    {
+        "a": ("DATEADD(millisecond, 5, '2024-01-01 00:00:00.100')", "'2024-01-01 00:00:00.105'"), "b": ("DATEADD(day, 1, '20240131')", "'2024-02-01'"), "c": ("DATEPART(year, 45000)", "2023"), "d": ("DATENAME(month, '01/02/2024')", "'January'"), "e": ("DATETRUNC(millisecond, '2024-01-01 00:00:00.123456')", "'2024-01-01 00:00:00.123'"), "f": ("TIMEFROMPARTS(1, 2, 3, 5, 2)", "'01:02:03.05'"), "g": ("DATETIMEFROMPARTS(2023, 1, 2, 3, 4, 5, 6)", "'2023-01-02 03:04:05.006'"), "h": ("DATEFROMPARTS(2023, 7, r_regionkey + 1)", "'2023-07-0' || (r_regionkey + 1)"), "i": ("ISDATE('2024-02-' + CAST(r_regionkey + 27 AS VARCHAR(2)))", "CASE WHEN r_regionkey < 3 THEN 1 ELSE 0 END"),
+        "j": ("DATE_TRUNC('month', '2024-05-06 07:08:09')", "'2024-05-01T00:00:00.000Z'"), "k": ("AGE_MS('2024-01-01 00:00:01', '2024-01-01 00:00:00')", "1000"), "l": ("NOW_MS() > 1700000000000", "TRUE"), "m": ("LEN(SYSDATETIMEOFFSET())", "30"), "n": ("CURRENT_TIMEZONE()", "'UTC'"),
+    },
+)
+calls("mysql_clock", {"a": ("UNIX_TIMESTAMP('2024-01-01')", "1704067200"), "b": ("FROM_UNIXTIME(86400 * r_regionkey)", "strftime(make_timestamp(86400000000 * r_regionkey), '%Y-%m-%d %H:%M:%S')"), "c": ("DAYOFWEEK('2024-01-01')", "2"), "d": ("TIMESTAMPDIFF(DAY, '2024-01-01', '2024-01-05')", "4"), "e": ("DATE_FORMAT(DATE_ADD('2024-01-31', INTERVAL 1 MONTH), '%Y-%m-%d')", "'2024-02-29'"), "f": ("DATE_FORMAT(DATE_SUB('2024-01-31', INTERVAL 1 DAY), '%Y-%m-%d')", "'2024-01-30'")}, dialect="mysql")
+calls(
+    "json_text",
+    {
+        "a": ("JSON_VALUE('{\"a\":true}', '$.a')", "'1'"), "b": ("JSON_QUERY('{\"a\":[1,2]}', '$.a')", "'[1,2]'"), "c": ("JSON_DEPTH('{\"a\":[1]}')", "3"), "d": ("JSON_LENGTH_DEEP('{\"a\":[1,2],\"b\":3}')", "3"), "e": ("JSON_VALID_STRICT('{bad')", "0"), "f": ("JSON_MERGE_PATCH('{\"a\":1}', '{\"b\":2}')", "'{\"a\":1,\"b\":2}'"), "g": ("JSON_CONTAINS('{\"a\":1,\"b\":2}', '{\"a\":1}')", "1"), "h": ("JSON_ARRAY_LENGTH('[1,2,3]')", "3"), "i": ("JSON_OBJECT_LENGTH('{\"a\":1}')", "1"),
+        "j": ("JSON_STRIP_NULLS('{\"a\":null,\"b\":1}')", "'{\"b\":1}'"), "k": ("JSON_PRETTY('{\"a\":1}')", "'{' || chr(10) || '  \"a\": 1' || chr(10) || '}'"), "l": ("JSON_VALUE('{\"n\":\"' + r_name + '\"}', '$.n')", "r_name"), "m": ("JSON_PATH_EXISTS('{\"a\":1}', '$.b')", "0"),
+    },
+    udfs=True,
+)
+calls("json_arrows", {"a": ("'{\"a\":{\"b\":5}}'->'a'", "'{\"b\":5}'"), "b": ("props->>'k'", "json_extract_string(props, '$.k')"), "c": ("json_typeof('[1]')", "'array'"), "d": ("event_id", "event_id")}, dialect="postgres", table="events")
+text("json_unquote", "SELECT event_id, JSON_UNQUOTE(JSON_EXTRACT(props, '$.k')) AS k FROM events", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events", dialect="mysql")
+text("json_agg_array", "SELECT n_regionkey, json_agg(n_nationkey) AS j FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, '[' || string_agg(n_nationkey, ',' ORDER BY n_nationkey) || ']' AS j FROM nation GROUP BY n_regionkey", dialect="postgres")
+calls("crypto_functions", {"a": ("HMAC_SHA256('k', 'm')", "'b60090e3052297aeb5a080889ce2fc4bca957e756faeb4df7d31800ca1e771ec'"), "b": ("HEX_ENCODE(HASHBYTES('SHA2_256', r_name))", "sha256(r_name)"), "c": ("BASE64_DECODE(BASE64_ENCODE(r_name))", "r_name"), "d": ("HEX_DECODE(HEX_ENCODE(r_name))", "r_name"), "e": ("UUID_NIL()", "'00000000-0000-0000-0000-000000000000'"), "f": ("UUID_VERSION(UUID_V7())", "7"), "g": ("UUID_VERSION(NEWID())", "4"), "h": ("LEN(RANDOM_STRING(12))", "12")}, udfs=True)
+calls("vector_texts", {"a": ("VECTOR_COSINE_DISTANCE('[1,0]', '[0,1]')", "CAST(1 AS DOUBLE)"), "b": ("VECTOR_DIM('[1,2,3]')", "3"), "c": ("VECTOR_NORM('3,4')", "CAST(5 AS DOUBLE)"), "d": ("VECTOR_L2_DISTANCE('[0,0]', '[3,4]')", "CAST(5 AS DOUBLE)"), "e": ("VECTOR_DOT_PRODUCT(VECTOR_FROM_BLOB(VECTOR_TO_BLOB('[1,2]')), '[3,4]')", "CAST(11 AS DOUBLE)"), "f": ("VECTOR_DOT_PRODUCT(VECTOR_NORMALIZE('[3,4]'), '[5,0]')", "CAST(3 AS DOUBLE)")}, udfs=True)
+calls("session_functions", {"a": ("SCHEMA_NAME()", "'dbo'"), "b": ("DB_NAME()", "'default'"), "c": ("SERVERPROPERTY('Edition')", "'Loomstone'")})
+
+# ---- further forms of queries
+
+text("apply_scalar_list", "SELECT n_nationkey, x.v FROM nation CROSS APPLY (SELECT n_nationkey * 2 AS v) x", "SELECT n_nationkey, n_nationkey * 2 AS v FROM nation")
+text("straight_join", "SELECT n_name, r_name FROM nation STRAIGHT_JOIN region ON n_regionkey = r_regionkey", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey", dialect="mysql")
+text("hinted_join", "SELECT c.c_custkey, n.n_name FROM customer c WITH (NOLOCK) JOIN nation n WITH (NOLOCK) ON c.c_nationkey = n.n_nationkey OPTION (HASH JOIN)", "SELECT c.c_custkey, n.n_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey")
+text("recursion_limit", "WITH r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 40) SELECT n FROM r OPTION (MAXRECURSION 60)", "SELECT CAST(unnest(range(1, 41)) AS INTEGER) AS n")
+text("grouping_sets", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+text("postgres_limit_all", "SELECT r_name FROM region ORDER BY r_name LIMIT ALL", "SELECT r_name FROM region", dialect="postgres")
+
+# ---- scripts
+
+scripted("script_flow", "DECLARE @i INT = 0; CREATE TABLE steps (i INT PRIMARY KEY, label VARCHAR(20) DEFAULT 'none'); WHILE @i < 4 BEGIN SET @i = @i + 1; IF @i = 2 CONTINUE; INSERT INTO steps (i) VALUES (@i); END; BEGIN TRY INSERT INTO steps VALUES (1, 'twice'); END TRY BEGIN CATCH INSERT INTO steps VALUES (9, 'refused'); END CATCH; SELECT i, label FROM steps", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'none'), (3, 'none'), (4, 'none'), (9, 'refused')) t(i, label)", ())
+scripted("select_into", "SELECT c_custkey, c_acctbal INTO rich FROM customer WHERE c_acctbal > 5000; EXEC('DELETE FROM rich WHERE c_acctbal > 9000'); SELECT c_custkey FROM rich", "SELECT c_custkey FROM customer WHERE c_acctbal > 5000 AND c_acctbal <= 9000", ("customer",))
+scripted("update_output", "UPDATE supplier SET s_acctbal = s_acctbal + 1 OUTPUT inserted.s_suppkey, deleted.s_acctbal AS was WHERE s_acctbal < 0", "SELECT s_suppkey, s_acctbal AS was FROM supplier WHERE s_acctbal < 0", ("supplier",))
+scripted("delete_returning", "DELETE FROM nation WHERE n_regionkey = 2 RETURNING n_nationkey, n_name", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2", ("nation",), "postgres")
+scripted("cte_delete", "WITH r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS place FROM nation) DELETE FROM r WHERE place > 2; SELECT n_nationkey FROM nation", "SELECT n_nationkey FROM (SELECT n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS place FROM nation) WHERE place <= 2", ("nation",))
+scripted("cte_update", "WITH low AS (SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal < 0) UPDATE low SET s_acctbal = 0; SELECT s_suppkey, s_acctbal FROM supplier", "SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 0 ELSE s_acctbal END AS s_acctbal FROM supplier", ("supplier",))
+scripted("sequence_values", "CREATE SEQUENCE tickets START WITH 5 INCREMENT BY 2; CREATE TABLE t (n INT); INSERT INTO t VALUES (NEXT VALUE FOR tickets); INSERT INTO t VALUES (NEXT VALUE FOR tickets); SELECT n FROM t", "SELECT * FROM (VALUES (CAST(5 AS BIGINT)), (7)) t(n)", ())
+scripted("truncate_and_refill", "TRUNCATE TABLE region; INSERT INTO region SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 3; SELECT r_regionkey, r_name FROM region", "SELECT n_nationkey AS r_regionkey, n_name AS r_name FROM nation WHERE n_nationkey < 3", ("region", "nation"))
+frame("shard_routing", "SELECT count(*) AS n, 8 AS shards FROM customer")(lambda read: read("customer").select(sharding.shard_of("c_custkey", 8).alias("s")).agg(F.count("s").alias("n"), F.count_distinct("s").cast("int").alias("shards")))
+frame("changes_backfill", "SELECT CAST(n_nationkey AS VARCHAR) AS row_id, 'upsert' AS operation FROM nation")(lambda read: changes.capture(read("nation").limit(0), read("nation"), "n_nationkey", "nation").select("row_id", "operation"))

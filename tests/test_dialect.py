@@ -1,51 +1,58 @@
+import statistics
+
 import pytest
 
 import loomstone.functions as fn
 from loomstone.plans.dialect import translate
 from loomstone.plans.lexer import DialectError
 
+#: crate, aisle, kilos, mark
+CRATES = [(11, "north", 3.5, "ash"), (12, "south", 8.0, "elm"), (13, "north", 6.25, "oak"), (14, "south", 1.75, "fir"), (15, "north", 9.5, "yew")]
+KILOS = [c[2] for c in CRATES]
+
 
 @pytest.fixture(scope="module", autouse=True)
 def tables(spark):
     fn.register(spark)
-    spark.createDataFrame([(1, 1, 10, "a"), (2, 1, 20, "b"), (3, 2, 30, "c"), (4, 2, 40, "d")], "id long, g long, v long, s string").createOrReplaceTempView("t")
-    spark.createDataFrame([(2,), (3,)], "id long").createOrReplaceTempView("src")
-    spark.createDataFrame([(1, "x,y"), (2, None), (3, "")], "id long, c string").createOrReplaceTempView("csv")
-    spark.createDataFrame([(1, '[{"a":1,"b":"q"},{"a":2}]')], "id long, j string").createOrReplaceTempView("js")
-    spark.createDataFrame([(1, None, "r"), (2, 1, "x"), (3, 2, "y")], "id long, p long, n string").createOrReplaceTempView("tree")
+    spark.createDataFrame(CRATES, "crate long, aisle string, kilos double, mark string").createOrReplaceTempView("crates")
+    spark.createDataFrame([(12, "x"), (15, "y")], "crate long, note string").createOrReplaceTempView("notes")
+    spark.createDataFrame([(7, "red;blue"), (8, None), (9, "")], "id long, colours string").createOrReplaceTempView("palette")
+    spark.createDataFrame([(1, '[{"w":4,"u":"kg"},{"w":6}]')], "id long, doc string").createOrReplaceTempView("weights")
+    spark.createDataFrame([(50, None), (51, 50), (52, 51), (53, 50)], "node long, above long").createOrReplaceTempView("chart")
 
 
 CASES = [
-    ("tsql", "SELECT TOP (2) id, s + N'''x' AS k FROM dbo.t WITH (NOLOCK) ORDER BY id DESC", [(4, "d'x"), (3, "c'x")]),
-    ("tsql", "SELECT 7/2 AS a, 7.0/2 AS b, 1/0 AS c, 7 % 4 AS d, 2 * 7 / 4 AS e", [(3.0, 3.5, None, 3, 3.0)]),
-    ("tsql", "SELECT VAR(v) a, VARP(v) b, STDEV(v) c, STDEVP(v) d FROM t", [(166.66666666666666, 125.0, 12.909944487358056, 11.180339887498949)]),
-    ("tsql", "SELECT PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY v) a, PERCENTILE_DISC(0.5) WITHIN GROUP (ORDER BY v) b, PERCENTILE_CONT(0.25) WITHIN GROUP (ORDER BY v DESC) c FROM t", [(25.0, 20.0, 32.5)]),
-    ("tsql", "SELECT STRING_AGG(s, ',') WITHIN GROUP (ORDER BY id DESC) AS k FROM t", [("d,c,b,a",)]),
-    ("tsql", "SELECT DATEDIFF(day,'2026-03-04 23:00:00','2026-03-05 01:00:00') a, DATEDIFF(month,'2026-01-31','2026-03-01') b, DATEADD(month,1,'2026-01-31') c, EOMONTH('2024-02-10') d, EOMONTH('2026-01-15',1) e", [(1, 2, "2026-02-28", "2024-02-29", "2026-02-28")]),
-    ("tsql", "SELECT DATE_BUCKET(day,7,'2026-03-04') f, DATETRUNC(month,'2026-03-04 05:06:07') g", [("2026-03-02", "2026-03-01 00:00:00")]),
-    ("tsql", "SELECT DATEPART(year,'2026-03-04') y, DATEPART(month,'2026-03-04') m, DATEPART(day,'2026-03-04') d, DATEPART(quarter,'2026-03-04') q, DATEPART(dayofyear,'2026-03-04') dy, DATEPART(weekday,'2026-03-04') w, DATEPART(iso_week,'2026-03-04') i", [(2026, 3, 4, 1, 63, 4, 10)]),
-    ("tsql", "SELECT CONVERT(VARCHAR, '2026-03-04 05:06:07', 23) a, CONVERT(VARCHAR, '2026-03-04 05:06:07', 103) b, CONVERT(VARCHAR, '2026-03-04 05:06:07', 112) c, CONVERT(VARCHAR, '2026-03-04 05:06:07', 126) d", [("2026-03-04", "04/03/2026", "20260304", "2026-03-04T05:06:07.000")]),
-    ("tsql", "SELECT TRANSLATE('2*[3+4]/{7-2}', '[]{}', '()()') a, PATINDEX('%ter%','interesting') b, REGEXP_COUNT('a1b22','[0-9]+') c, REGEXP_REPLACE('a1b22','[0-9]+','#') d", [("2*(3+4)/(7-2)", 3, 2, "a#b#")]),
-    ("tsql", "SELECT PARSENAME('a.b.[c.d]',1) e, STUFF('abcdef',2,3,'X') f, QUOTENAME('a]b') g, LEFT('hello',-2) i, UNISTR('\\0041b') u", [("c.d", "aXef", "[a]]b]", "hel", "Ab")]),
-    ("tsql", "SELECT t.id, x.m FROM t OUTER APPLY (SELECT TOP 1 src.id AS m FROM src WHERE src.id >= t.id ORDER BY src.id) x ORDER BY t.id", [(1, 2), (2, 2), (3, 3), (4, None)]),
-    ("tsql", "SELECT c.id, s.value FROM csv c CROSS APPLY STRING_SPLIT(c.c, ',') s ORDER BY c.id, s.value", [(1, "x"), (1, "y"), (3, "")]),
-    ("tsql", "SELECT value, ordinal FROM STRING_SPLIT('a..b','.',1) ORDER BY ordinal", [("a", 1), ("", 2), ("b", 3)]),
-    ("tsql", "SELECT js.id, o.a, o.b FROM js CROSS APPLY OPENJSON(js.j) WITH (a INT '$.a', b NVARCHAR(10) '$.b') o ORDER BY o.a", [(1, 1, "q"), (1, 2, None)]),
-    ("tsql", "SELECT [key], value FROM OPENJSON('{\"x\":1,\"y\":\"z\"}') ORDER BY 1", [("x", "1"), ("y", "z")]),
-    ("tsql", "SELECT id FROM t WHERE v > ALL (SELECT id*10 FROM src) OR id = ANY (SELECT id FROM src) ORDER BY id", [(2,), (3,), (4,)]),
-    ("tsql", "SELECT 1 a UNION SELECT 2 INTERSECT SELECT 3", []),
-    ("tsql", "WITH r(id, d) AS (SELECT id, 0 FROM tree WHERE p IS NULL UNION ALL SELECT tree.id, r.d+1 FROM tree JOIN r ON tree.p=r.id) SELECT * FROM r ORDER BY id OPTION (MAXRECURSION 50)", [(1, 0), (2, 1), (3, 2)]),
-    ("tsql", "SELECT g, [1] AS one FROM (SELECT g, id, v FROM t) q PIVOT (SUM(v) FOR id IN ([1],[2])) p ORDER BY g", [(1, 10), (2, None)]),
-    ("tsql", "SELECT CAST('12abc' AS INT) a, TRY_CAST('x' AS INT) b, TRY_CAST(300 AS TINYINT) c, CHOOSE(2,'a','b') d, CHOOSE(5,'a') e, ISNUMERIC('1.5') f", [(12, None, None, "b", None, 1)]),
-    ("tsql", "SELECT FORMAT(1234.5,'N2') g, FORMAT(0.256,'P1') h, FORMAT(1234567.891,'#,##0.00') i, FORMAT(1234.5,'N2','de-DE') j", [("1,234.50", "25.6%", "1,234,567.89", "1.234,50")]),
-    ("tsql", "SELECT JSON_VALUE('{\"a\":{\"b\":2}}','$.a.b') a, JSON_MODIFY('{\"a\":1}','$.b',2) b, JSON_MERGE_PATCH('{\"a\":1,\"c\":3}','{\"a\":null}') c", [("2", '{"a":1,"b":2}', '{"c":3}')]),
-    ("postgres", "SELECT s::text, v::int/3 q FROM t WHERE s ~* '^[AB]' ORDER BY 1 LIMIT 2", [("a", 3.0), ("b", 6.0)]),
-    ("postgres", "SELECT split_part('a,b,c',',',2) a, split_part('a',',',-1) n, initcap('hello wORLD-foo_bar') c", [("b", "", "Hello World-Foo_Bar")]),
-    ("postgres", "SELECT string_agg(s, '-' ORDER BY v DESC) k, json_agg(v) j, bool_and(v>5) b FROM t", [("d-c-b-a", "[10,20,30,40]", 1)]),
-    ("mysql", "SELECT GROUP_CONCAT(DISTINCT s ORDER BY s DESC SEPARATOR '|') k FROM t", [("d|c|b|a",)]),
-    ("mysql", "SELECT 7 DIV 2 a, 7 MOD 4 b, IF(1,'a','b') c, LENGTH('é') d, CONCAT('a',NULL) e, DATE_FORMAT('2024-05-06','%Y/%m') f", [(3, 3, "a", 2, None, "2024/05")]),
-    ("mysql", "SELECT id, v FROM t HAVING v > 20 ORDER BY id", [(3, 30), (4, 40)]),
-    ("mysql", "SELECT `id` FROM t WHERE s REGEXP '^[ab]' ORDER BY id LIMIT 1, 5", [(2,)]),
+    ("tsql", "SELECT TOP (2) crate, mark + N'''s' AS k FROM dbo.crates WITH (NOLOCK) ORDER BY kilos DESC", [(15, "yew's"), (12, "elm's")]),
+    ("tsql", "SELECT 9/4 AS a, 9.0/4 AS b, 5/0 AS c, 9 % 4 AS d, 3 * 5 / 4 AS e", [(2.0, 2.25, None, 1, 3.0)]),
+    ("tsql", "SELECT ROUND(VAR(kilos), 9) a, ROUND(VARP(kilos), 9) b, ROUND(STDEV(kilos), 9) c, ROUND(STDEVP(kilos), 9) d FROM crates", [tuple(round(f(KILOS), 9) for f in (statistics.variance, statistics.pvariance, statistics.stdev, statistics.pstdev))]),
+    ("tsql", "SELECT PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY kilos) a, PERCENTILE_DISC(0.4) WITHIN GROUP (ORDER BY kilos) b, PERCENTILE_CONT(0.25) WITHIN GROUP (ORDER BY kilos DESC) c FROM crates", [(6.25, 3.5, 8.0)]),
+    ("tsql", "SELECT STRING_AGG(mark, '+') WITHIN GROUP (ORDER BY kilos) AS k FROM crates WHERE aisle = 'north'", [("ash+oak+yew",)]),
+    ("tsql", "SELECT DATEDIFF(day,'2019-12-31 22:10:00','2020-01-02 00:05:00') a, DATEDIFF(month,'2019-11-30','2020-02-01') b, DATEADD(month,1,'2019-01-30') c, EOMONTH('2019-04-11') d, EOMONTH('2019-12-05',2) e", [(2, 3, "2019-02-28", "2019-04-30", "2020-02-29")]),
+    ("tsql", "SELECT DATE_BUCKET(day,2,'1900-01-06') f, DATETRUNC(quarter,'2021-08-19 10:11:12') g", [("1900-01-05", "2021-07-01 00:00:00")]),
+    ("tsql", "SELECT DATEPART(year,'2021-08-19') y, DATEPART(month,'2021-08-19') m, DATEPART(day,'2021-08-19') d, DATEPART(quarter,'2021-08-19') q, DATEPART(dayofyear,'2021-02-02') dy, DATEPART(weekday,'2021-08-19') w, DATEPART(iso_week,'2021-01-04') i", [(2021, 8, 19, 3, 33, 5, 1)]),
+    ("tsql", "SELECT CONVERT(VARCHAR, '2021-08-19 10:11:12', 23) a, CONVERT(VARCHAR, '2021-08-19 10:11:12', 101) b, CONVERT(VARCHAR, '2021-08-19 10:11:12', 112) c, CONVERT(VARCHAR, '2021-08-19 10:11:12', 108) d", [("2021-08-19", "08/19/2021", "20210819", "10:11:12")]),
+    ("tsql", "SELECT CONVERT(VARCHAR, 54321.5, 1) a, CONVERT(VARCHAR, 54321.5, 2) b, 2 + 3 + ' crates' c, NCHAR(9731) d", [("54,321.50", "54321.5000", "5 crates", "☃")]),
+    ("tsql", "SELECT TRANSLATE('<5>|<6>', '<>|', '(),') a, PATINDEX('%rate%','crates') b, REGEXP_COUNT('x7yy88z999','[0-9]+') c, REGEXP_REPLACE('x7yy88','[a-z]+','.') d", [("(5),(6)", 2, 3, ".7.88")]),
+    ("tsql", "SELECT PARSENAME('shed.[north.wing].crates',2) e, STUFF('warehouse',5,5,'m') f, QUOTENAME('aisle]7') g, LEFT('crates',-1) i, UNISTR('\\00d8re') u", [("north.wing", "warem", "[aisle]]7]", "crate", "Øre")]),
+    ("tsql", "SELECT c.crate, x.n FROM crates c OUTER APPLY (SELECT TOP 1 notes.note AS n FROM notes WHERE notes.crate >= c.crate ORDER BY notes.crate) x ORDER BY c.crate", [(11, "x"), (12, "x"), (13, "y"), (14, "y"), (15, "y")]),
+    ("tsql", "SELECT p.id, s.value FROM palette p CROSS APPLY STRING_SPLIT(p.colours, ';') s ORDER BY p.id, s.value", [(7, "blue"), (7, "red"), (9, "")]),
+    ("tsql", "SELECT value, ordinal FROM STRING_SPLIT('u||v','|',1) ORDER BY ordinal", [("u", 1), ("", 2), ("v", 3)]),
+    ("tsql", "SELECT w.id, o.w, o.u FROM weights w CROSS APPLY OPENJSON(w.doc) WITH (w INT '$.w', u NVARCHAR(5) '$.u') o ORDER BY o.w", [(1, 4, "kg"), (1, 6, None)]),
+    ("tsql", "SELECT [key], value FROM OPENJSON('{\"lid\":\"off\",\"n\":3}') ORDER BY 1", [("lid", "off"), ("n", "3")]),
+    ("tsql", "SELECT crate FROM crates WHERE kilos > ALL (SELECT crate - 4 FROM notes WHERE note = 'x') OR crate = ANY (SELECT crate FROM notes) ORDER BY crate", [(12,), (15,)]),
+    ("tsql", "SELECT 5 a UNION SELECT 6 INTERSECT SELECT 7", []),
+    ("tsql", "WITH r(node, d) AS (SELECT node, 0 FROM chart WHERE above IS NULL UNION ALL SELECT chart.node, r.d+1 FROM chart JOIN r ON chart.above=r.node) SELECT * FROM r ORDER BY node OPTION (MAXRECURSION 20)", [(50, 0), (51, 1), (52, 2), (53, 1)]),
+    ("tsql", "SELECT aisle, [12] AS twelve FROM (SELECT aisle, crate, kilos FROM crates) q PIVOT (SUM(kilos) FOR crate IN ([12],[13])) p ORDER BY aisle", [("north", None), ("south", 8.0)]),
+    ("tsql", "SELECT CAST('31 crates' AS INT) a, TRY_CAST('none' AS INT) b, TRY_CAST(999 AS TINYINT) c, CHOOSE(3,'p','q','r') d, CHOOSE(0,'p') e, ISNUMERIC('-2.5') f", [(31, None, None, "r", None, 1)]),
+    ("tsql", "SELECT FORMAT(98765.4,'N1') g, FORMAT(0.125,'P2') h, FORMAT(9876543.21,'#,##0.0') i, FORMAT(98765.4,'N1','de-DE') j", [("98,765.4", "12.50%", "9,876,543.2", "98.765,4")]),
+    ("tsql", "SELECT JSON_VALUE('{\"lid\":{\"on\":false}}','$.lid.on') a, JSON_MODIFY('{\"n\":3}','$.m',4) b, JSON_MERGE_PATCH('{\"n\":3,\"m\":4}','{\"n\":null}') c, JSON_DEPTH('[[1],2]') d", [("0", '{"m":4,"n":3}', '{"m":4}', 3)]),
+    ("postgres", "SELECT mark::text, crate::int/4 q FROM crates WHERE mark ~* '^[EO]' ORDER BY 1 LIMIT 2", [("elm", 3.0), ("oak", 3.0)]),
+    ("postgres", "SELECT split_part('up/down/left','/',3) a, split_part('up/down','/',-2) n, initcap('OLD crate-lid_key') c", [("left", "", "Old Crate-Lid_Key")]),
+    ("postgres", "SELECT string_agg(mark, '/' ORDER BY kilos DESC) k, bool_and(kilos>2) b FROM crates", [("yew/elm/oak/ash/fir", 0)]),
+    ("mysql", "SELECT GROUP_CONCAT(DISTINCT aisle ORDER BY aisle DESC SEPARATOR '&') k FROM crates", [("south&north",)]),
+    ("mysql", "SELECT 17 DIV 5 a, 17 MOD 5 b, IF(0,'yes','no') c, LENGTH('Øre') d, CONCAT(NULL,'x') e, DATE_FORMAT('2021-08-19','%d.%m.%Y') f", [(3, 2, "no", 4, None, "19.08.2021")]),
+    ("mysql", "SELECT crate, kilos FROM crates HAVING kilos > 7 ORDER BY crate", [(12, 8.0), (15, 9.5)]),
+    ("mysql", "SELECT `crate` FROM crates WHERE mark REGEXP '^[ef]' ORDER BY crate LIMIT 1, 3", [(14,)]),
 ]
 
 
@@ -54,7 +61,7 @@ def test_translated(spark, dialect, sql, want):
     assert [tuple(r) for r in spark.sql(translate(sql, dialect)).collect()] == want
 
 
-@pytest.mark.parametrize("dialect,sql", [("tsql", "SELECT TOP 5 PERCENT id FROM t"), ("tsql", "SELECT EDIT_DISTANCE('a','b')"), ("tsql", "SELECT a FROM t FOR XML PATH"), ("postgres", "SELECT DISTINCT ON (g) id FROM t"), ("postgres", "SELECT ARRAY[1,2]"), ("tsql", "SELECT s COLLATE Latin1_General_CI_AI FROM t"), ("tsql", "SELECT (1"), ("tsql", "SELECT @nope")])
+@pytest.mark.parametrize("dialect,sql", [("tsql", "SELECT TOP 5 PERCENT crate FROM crates"), ("tsql", "SELECT EDIT_DISTANCE('a','b')"), ("tsql", "SELECT mark FROM crates FOR XML PATH"), ("postgres", "SELECT DISTINCT ON (aisle) crate FROM crates"), ("postgres", "SELECT ARRAY[1,2]"), ("tsql", "SELECT mark COLLATE Latin1_General_CI_AI FROM crates"), ("tsql", "SELECT (1"), ("tsql", "SELECT @nope")])
 def test_refused(dialect, sql):
     with pytest.raises(DialectError):
         translate(sql, dialect)
