@@ -18,22 +18,30 @@ from pyspark.sql import functions as F
 #: Rows of one Arrow batch handed to Python.
 ROWS_PER_BATCH = 1024
 #: Bytes of text that are worked on at once, but for single texts that are longer.
-BYTES_AT_ONCE = 1 << 20
+BYTES_AT_ONCE = 1 << 19
+#: Rows that a writer of an intermediate table holds at once.
+ROW_GROUP_BYTES = 16 << 20
 #: Largest table, measured in bytes, that is broadcast.
 BROADCAST_BYTES = 16 << 20
 
 _held: list = [None, None]
 
 
-def worker_model(key, make: Callable):
-    """A heavy object that a worker keeps between tasks; one at a time, so that successive operators don't add up."""
-    if _held[0] != key:
+def release_model() -> None:
+    """Let go of the worker's heavy object, if it holds one, and give its memory back."""
+    if _held[0] is not None:
         _held[:] = [None, None]
         gc.collect()
         try:
             ctypes.CDLL(None).malloc_trim(0)
         except (OSError, AttributeError):
             pass  # another C library: its allocator decides
+
+
+def worker_model(key, make: Callable):
+    """A heavy object that a worker keeps between tasks; one at a time, so that successive operators don't add up."""
+    if _held[0] != key:
+        release_model()
         _held[:] = [key, make()]
     return _held[1]
 
@@ -90,7 +98,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Cuts the lineage; the copy outlives any executor. Sizes of the parts follow the plan.
     """
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomstone_path = path
     return out

@@ -19,9 +19,11 @@ Components are found by alternating large-star and small-star steps, in tables i
 
 The pipeline drops near copies by another measure (``drop_near_duplicates``): sets of 5-word shingles with
 a Jaccard similarity of 0.8 or more are linked. At 0.8, fingerprints may differ in 17 bits and more,
-a radius at which pivots no longer discard, so candidates come from 40 keys of six least hashes
-(MinHash): a pair at 0.8 shares none with a probability of 5 in a million. Candidates are verified
-on their texts, equal sets need no pairs.
+a radius at which pivots no longer discard, so candidates come from 24 keys of four least hashes
+(MinHash): a pair at 0.8 shares none with a probability of 3 in a million. Candidates are verified
+on their texts, equal sets need no pairs. A key that more than ``max_key`` sets share is settled by holding
+each set against the least of every other component there, so that a link between two other members can be
+missed unless they share a smaller key.
 
 Defined results: null, empty and blank texts have fingerprint zero, linked like any other; texts of
 fewer words than a shingle are one shingle; a component's id is its least non-null document id;
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import textvec as tv
-from .common import by_bytes, drop, id_type, load, materialize, small, small_batches
+from .common import broadcast_if_small, by_bytes, drop, id_type, load, materialize, release_model, small, small_batches
 from .textvec import LOWER
 
 SHINGLE = 3
@@ -53,7 +55,7 @@ QUARTERS = [0xFFFF << s for s in (0, 16, 32, 48)]
 #: Near copies that the pipeline drops: Jaccard similarity of the sets of shingles, words of a shingle.
 MIN_JACCARD = 0.8
 COPY_SHINGLE = 5
-BANDS, BAND_ROWS, FIRST_BANDS = 40, 6, 10
+BANDS, BAND_ROWS, FIRST_BANDS = 24, 4, 6
 
 
 def _references(n: int) -> list[int]:
@@ -238,6 +240,7 @@ def with_bands(docs: DataFrame, text_col: str = "text") -> DataFrame:
     schema = StructType([*docs.schema.fields, StructField("__set", LongType()), StructField("__bands", ArrayType(LongType()))])
 
     def run(batches):
+        release_model()
         for batch in by_bytes(batches, at):
             sets = list(gram_sets(batch.column(at)))
             names = [_signed(xxhash.xxh64_intdigest(g.tobytes(), SEED)) for g in sets]
@@ -310,7 +313,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = materialize(rows.select("__row").join(firsts.select(F.col("first.row").alias("__row")), "__row", "left_anti"), "copies-gone")
     for table in (*made, roots):
         drop(table)
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    return rows.join(broadcast_if_small(gone), "__row", "left_anti").select(*docs.columns)
 
 
 def op9_simhash(spark, sf_dir) -> DataFrame:
