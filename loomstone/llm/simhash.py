@@ -19,11 +19,12 @@ Components are found by alternating large-star and small-star steps, in tables i
 
 The pipeline drops near copies by another measure (``drop_near_duplicates``): sets of 5-word shingles with
 a Jaccard similarity of 0.8 or more are linked. At 0.8, fingerprints may differ in 17 bits and more,
-a radius at which pivots no longer discard, so candidates come from 24 keys of four least hashes
+a radius at which pivots no longer discard, so candidates come from 32 keys of five least hashes
 (MinHash): a pair at 0.8 shares none with a probability of 3 in a million. Candidates are verified
-on their texts, equal sets need no pairs. A key that more than ``max_key`` sets share is settled by holding
-each set against the least of every other component there, so that a link between two other members can be
-missed unless they share a smaller key.
+on their texts, equal sets need no pairs. Members of keys that more than ``max_key`` sets share get
+four finer keys for each such key (two keys together); a finer key that is crowded as well holds its sets
+against its least one. So pairs grow with the sets, not with their square; a link between two members of
+crowded keys is missed only where they share no smaller key of either kind.
 
 Defined results: null, empty and blank texts have fingerprint zero, linked like any other; texts of
 fewer words than a shingle are one shingle; a component's id is its least non-null document id;
@@ -55,7 +56,9 @@ QUARTERS = [0xFFFF << s for s in (0, 16, 32, 48)]
 #: Near copies that the pipeline drops: Jaccard similarity of the sets of shingles, words of a shingle.
 MIN_JACCARD = 0.8
 COPY_SHINGLE = 5
-BANDS, BAND_ROWS, FIRST_BANDS = 24, 4, 6
+BANDS, BAND_ROWS, FIRST_BANDS = 32, 5, 8
+#: Further keys that members of crowded keys get.
+SECOND_KEYS = 4
 
 
 def _references(n: int) -> list[int]:
@@ -271,12 +274,17 @@ def _verified(pairs: DataFrame, rows: DataFrame, text_col: str, made: list) -> D
     return out
 
 
+def _across(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the sets of a key that lie in different components; for keys of bounded size."""
+    groups = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("set", "root"))).alias("t"))
+    return groups.select(F.explode(F.expr("flatten(transform(t, (x, i) -> transform(filter(slice(t, i + 2, size(t)), y -> x.root <> y.root), y -> struct(x.set as a, y.set as b))))")).alias("e")).select("e.a", "e.b")
+
+
 def copy_roots(rows: DataFrame, text_col: str = "text", max_key: int = MAX_KEY, made: list | None = None) -> DataFrame:
     """(node, root): the components of sets of shingles linked by a Jaccard similarity of ``MIN_JACCARD``.
 
-    ``rows`` is from ``with_bands``. First the sets of a key are held against its least; then the pairs of
-    a key that lie in different components: all of them up to ``max_key`` sets a key, beyond that each set
-    against the least of each other component there.
+    ``rows`` is from ``with_bands``. First the sets of a key are held against its least; then those pairs of
+    a key that lie in different components, in keys of up to ``max_key`` sets or else in their finer keys.
     """
     made = [] if made is None else made
     keyed = rows.groupBy("__set").agg(F.first("__bands").alias("keys")).select(F.col("__set").alias("set"), F.posexplode("keys").alias("band", "key"))
@@ -288,17 +296,25 @@ def copy_roots(rows: DataFrame, text_col: str = "text", max_key: int = MAX_KEY,
     roots = components(edges)
     made.append(roots)
 
-    marked = found.join(roots, found.set == roots.node, "left").select("key", "n", "set", F.coalesce("root", "set").alias("root"))
+    marked = found.join(roots, found.set == roots.node, "left").select("key", "n", "band", "set", F.coalesce("root", "set").alias("root"))
     marked = materialize(marked, "copy-marked")
     open_keys = marked.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("key")
     left = materialize(marked.join(open_keys, "key"), "copy-open")
     made += [marked, left]
-    small = left.filter(F.col("n") <= max_key).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("set", "root"))).alias("t"))
-    pairs = small.select(F.explode(F.expr(f"flatten(transform(t, (x, i) -> transform(filter(slice(t, i + 2, {max_key}), y -> x.root <> y.root), y -> struct(x.set as a, y.set as b))))")).alias("e")).select("e.a", "e.b")
+    pairs = _across(left.filter(F.col("n") <= max_key))
     crowded = left.filter(F.col("n") > max_key)
-    firsts = crowded.groupBy("key", "root").agg(F.min("set").alias("a")).withColumnRenamed("root", "a_root")
-    across = crowded.join(firsts, "key").filter("root <> a_root").select(F.least("a", "set").alias("a"), F.greatest("a", "set").alias("b"))
-    more = _verified(pairs.unionByName(across), rows, text_col, made)
+    if crowded.take(1):
+        # a second key beside the crowded one; what is crowded even so is held against its least, one pair a set
+        other = keyed.select(F.col("set").alias("o_set"), F.col("band").alias("o_band"), F.col("key").alias("o_key"))
+        finer = crowded.select("set", "root", "key", "band", F.explode(F.sequence(F.lit(1), F.lit(SECOND_KEYS))).alias("j"))
+        finer = finer.join(other, (F.col("set") == F.col("o_set")) & (F.pmod(F.col("band") + F.col("j"), F.lit(BANDS)) == F.col("o_band")))
+        finer = materialize(finer.select(F.xxhash64("key", "o_key").alias("key"), "set", "root").distinct(), "copy-finer")
+        sizes = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n2"), F.min(F.struct("set", "root")).alias("least")).filter("n2 > 1")
+        finer2 = materialize(finer.join(sizes, "key"), "copy-finer-sizes")
+        made += [finer, finer2]
+        pairs = pairs.unionByName(_across(finer2.filter(F.col("n2") <= max_key)))
+        pairs = pairs.unionByName(finer2.filter(F.col("n2") > max_key).filter("root <> least.root").select(F.col("least.set").alias("a"), F.col("set").alias("b")))
+    more = _verified(pairs, rows, text_col, made)
     return components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
 
 
