@@ -59,6 +59,8 @@ COPY_SHINGLE = 5
 BANDS, BAND_ROWS, FIRST_BANDS = 32, 5, 8
 #: Further keys that members of crowded keys get.
 SECOND_KEYS = 4
+#: Sets of a key whose pairs are all looked at, so that a set is in eight pairs a key on average at most.
+MAX_COPY_KEY = 16
 
 
 def _references(n: int) -> list[int]:
@@ -280,7 +282,7 @@ def _across(rows: DataFrame) -> DataFrame:
     return groups.select(F.explode(F.expr("flatten(transform(t, (x, i) -> transform(filter(slice(t, i + 2, size(t)), y -> x.root <> y.root), y -> struct(x.set as a, y.set as b))))")).alias("e")).select("e.a", "e.b")
 
 
-def copy_roots(rows: DataFrame, text_col: str = "text", max_key: int = MAX_KEY, made: list | None = None) -> DataFrame:
+def copy_roots(rows: DataFrame, text_col: str = "text", max_key: int = MAX_COPY_KEY, made: list | None = None) -> DataFrame:
     """(node, root): the components of sets of shingles linked by a Jaccard similarity of ``MIN_JACCARD``.
 
     ``rows`` is from ``with_bands``. First the sets of a key are held against its least; then those pairs of
@@ -318,7 +320,7 @@ def copy_roots(rows: DataFrame, text_col: str = "text", max_key: int = MAX_KEY,
     return components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_key: int = MAX_KEY) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_key: int = MAX_COPY_KEY) -> DataFrame:
     """One row of each component: one of the least id, rows without an id last. Ids may repeat or be null; rows are told apart by ``__row``."""
     made: list = []
     rows = materialize(with_bands(docs.withColumn("__row", F.monotonically_increasing_id()), text_col), "copies")

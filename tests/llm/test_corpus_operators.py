@@ -251,9 +251,9 @@ def near_copies():
     return out
 
 
-@pytest.mark.parametrize("max_key", [64, 2])
+@pytest.mark.parametrize("max_key", [16, 2])
 def test_near_copies_by_jaccard(spark, docs, max_key):
-    texts = near_copies() + [r.text for r in docs.collect()][:: 1 if max_key == 64 else 4]
+    texts = near_copies() + [r.text for r in docs.collect()][:: 1 if max_key == 16 else 4]
     groups = defaultdict(set)
     for i, g in enumerate(jaccard_groups(texts)):
         groups[g].add(i)
