@@ -261,6 +261,21 @@ def test_near_copies_by_jaccard(spark, docs, max_key):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(map(min, groups.values()))
 
 
+def test_every_link_of_a_crowded_key(spark):
+    texts = [t for t in near_copies() if len(t.split()) >= 60]
+    rows = common.materialize(simhash.with_bands(spark.createDataFrame([(t,) for t in texts], "text string")), "copies")
+    one_key = rows.select(F.lit(1).cast("long").alias("key"), F.col("__set").alias("set")).distinct()
+    none = spark.createDataFrame([], "a long, b long")
+    roots = simhash._all_finer(one_key, simhash.components(none), none, rows, "text", 4, [])
+    root = {r.node: r.root for r in roots.collect()}
+    got, want = defaultdict(set), defaultdict(set)
+    names = {r.text: r["__set"] for r in rows.collect()}
+    for t, g in zip(texts, jaccard_groups(texts), strict=True):
+        got[root.get(names[t], names[t])].add(t)
+        want[g].add(t)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_near_copies_go_by_row(spark):
     other, third, fourth = ("unlike text number %d that shares no five words with number %d" % (i, i) for i in (2, 3, 4))
     copy = "one text that is here several times over in the very same words"
