@@ -276,6 +276,65 @@ def test_every_link_of_a_crowded_key(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_copies_are_found_by_fingerprints_and_pivots():
+    """The pipeline's candidates: majority bits of hashed shingles, keys by the distances to the pivots, near pairs share one."""
+    import numpy as np
+    import pyarrow as pa
+
+    from loomstone.llm import textvec
+
+    texts = [t for t in near_copies() if len(t.split()) >= 20]
+    grams = list(simhash.gram_sets(pa.array(texts)))
+    prints = np.stack([simhash.copy_print(g) for g in grams])
+    hashes = textvec.mix(grams[-1][:, None] * simhash._ODD[None, :])
+    ones = [[sum(int(h) >> b & 1 for h in column) for b in range(64)] for column in hashes.T]
+    assert [int(w) for w in prints[-1].view(np.uint64)] == [sum(1 << b for b in range(64) if 2 * n[b] > len(hashes)) for n in ones]
+    keys = simhash.copy_keys(prints)
+    assert (simhash.copy_keys(prints, 32, 64) == keys[:, 32:64]).all()
+    pivots = simhash._references(16)
+    for k in (0, 70, 127):
+        seen = defaultdict(set)
+        for row, key in zip(prints.view(np.uint64), keys[:, k], strict=True):
+            distances = []
+            for part in simhash._KEY_PARTS[k].tolist():
+                mask = 0xF << 4 * (part % 16)
+                distances.append(tuple(((int(row[part // 16]) ^ p) & mask).bit_count() for p in pivots))
+            seen[int(key)].add(tuple(distances))
+        assert all(len(d) == 1 for d in seen.values()) and len(set.union(*seen.values())) == len(seen)
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if simhash._alike(grams[i], grams[j])]
+    assert len(near) > 50 and all((keys[i] == keys[j]).any() for i, j in near)
+    assert all(np.bitwise_count((prints[i] ^ prints[j]).view(np.uint64)).sum() <= simhash.COPY_BITS for i, j in near)
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_crowded_keys_give_links_only(spark, monkeypatch, block):
+    """A group of copies that are near but mostly not linked: keys give a row a member at most, blocks their links, each once."""
+    import random
+
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(9999)}" for _ in range(150)]
+    texts = []
+    for n in range(160):
+        copy = list(base)
+        for _ in range(n % 12):
+            copy[rng.randrange(150)] = f"x{rng.randrange(9999)}"
+        texts.append(" ".join(copy))
+    rows = common.materialize(simhash.with_bands(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "copies")
+    prints = simhash._prints(rows).withColumn("root", F.col("set"))
+    prints = common.materialize(prints, "prints")
+    sets = {t: s for t, s in rows.select("text", "__set").collect()}
+    found = simhash._near_in_keys(simhash._keyed(prints, 0, simhash.COPY_KEYS), 0, False).collect()
+    assert found and all(r.members is not None for r in found) and len({r.a for r in found}) == len(found)
+    keys = spark.createDataFrame([(r.a, s) for r in found for s in r.members], "key long, set long")
+    links = [(r.a, r.b) for r in simhash._links_in_blocks(keys, prints, rows, "text", []).collect()]
+    words = {s: word_sets(t) for t, s in sets.items()}
+    want = {(a, b) for a in words for b in words if a < b and len(words[a] & words[b]) >= 0.8 * len(words[a] | words[b])}
+    assert len(want) > 100 and len(links) == len(set(links)) and set(links) <= want and len(links) >= 0.999 * len(want)
+    kept = simhash.drop_near_duplicates(rows.select("doc_id", "text"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({g: i for i, g in reversed(list(enumerate(jaccard_groups(texts))))}.values())
+
+
 def test_near_copies_go_by_row(spark):
     other, third, fourth = ("unlike text number %d that shares no five words with number %d" % (i, i) for i in (2, 3, 4))
     copy = "one text that is here several times over in the very same words"
