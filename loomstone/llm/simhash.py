@@ -44,7 +44,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -64,10 +64,12 @@ COPY_SHINGLE = 5
 COPY_WORDS, COPY_KEYS, KEY_PARTS, PASS_KEYS = 16, 128, 4, 32
 #: Words that go with a key, most bits in which they and whole fingerprints may differ: at 0.8 4.6 and 3.9 standard deviations above the mean.
 NEAR_WORDS, NEAR_BITS, COPY_BITS = 2, 38, 200
+#: The same in the first round, which need not find all.
+FIRST_BITS = 28
 #: Near pairs a member that a key may have before it is dealt into blocks, so that a key gives no more rows than twice its members.
 MAX_COPY_KEY = 2
-#: Members of a key that are held against each other at once; members and bytes of texts of a block (about), and pivots there.
-MAX_RUN, BLOCK, BLOCK_BYTES, BLOCK_PIVOTS = 2048, 1024, 4 << 20, 8
+#: Members of a key that are held against each other at once, members of a block (about), and pivots there.
+MAX_RUN, BLOCK, BLOCK_PIVOTS = 2048, 512, 8
 
 
 def _references(n: int) -> list[int]:
@@ -374,13 +376,13 @@ def _near_in_keys(keyed: DataFrame, max_key: int, nearest: bool) -> DataFrame:
         sizes = np.diff(np.r_[starts, len(key)])
         run_of = np.repeat(np.arange(len(starts)), sizes)
         after = np.repeat(starts + sizes, sizes) - np.arange(len(key))  # rows of the run from this one on
-        crowded = sizes > MAX_RUN
-        after[crowded[run_of]] = 0
+        crowded = (sizes > MAX_RUN) & (np.minimum.reduceat(roots, starts) < np.maximum.reduceat(roots, starts))
+        after[(sizes > MAX_RUN)[run_of]] = 0
         i, d, found = np.flatnonzero(after > 1), 1, []
         near_of_run = np.zeros(len(starts), dtype=np.int64)
         while len(i):
             bits = _differ(words[i], words[i + d])
-            ok = (bits <= NEAR_BITS) & (roots[i] != roots[i + d])
+            ok = (bits <= (FIRST_BITS if nearest else NEAR_BITS)) & (roots[i] != roots[i + d])
             found.append((i[ok], i[ok] + d, bits[ok]))
             near_of_run += np.bincount(run_of[i[ok]], minlength=len(starts))
             d += 1
@@ -408,27 +410,28 @@ def _near_in_keys(keyed: DataFrame, max_key: int, nearest: bool) -> DataFrame:
     return keyed.mapInArrow(run, "a long, b long, members array<long>")
 
 
-def _near_prints(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+def _near_prints(pairs: DataFrame, prints: DataFrame, made: list) -> DataFrame:
     """The pairs (a, b) whose whole fingerprints are within ``COPY_BITS``."""
     one, two = prints.select(F.col("set").alias("a"), F.col("words").alias("v")), prints.select(F.col("set").alias("b"), F.col("words").alias("w"))
     bits = F.aggregate(F.zip_with("v", "w", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    return pairs.join(one, "a").join(two, "b").filter(bits <= COPY_BITS).select("a", "b")
+    pairs = materialize(pairs.distinct(), "copy-near-pairs")
+    made.append(pairs)
+    return one.join(broadcast_if_small(pairs), "a").join(two, "b").filter(bits <= COPY_BITS).select("a", "b")
 
 
 def _links_in_blocks(finer: DataFrame, prints: DataFrame, rows: DataFrame, text_col: str, made: list) -> DataFrame:
     """Links (a, b) between the members of the keys of ``finer`` (key, set) that lie in different components; a task holds two blocks at once."""
-    sets = finer.select(F.col("set").alias("__set")).distinct()
-    texts = materialize(_texts(rows, sets, text_col).withColumnRenamed("__set", "set").join(prints, "set"), "copy-members")
-    size = F.octet_length("t").cast("long")
-    sizes = finer.join(texts.select("set", "root", size.alias("bytes")), "set").groupBy("key")
-    sizes = sizes.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y")
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    sizes = materialize(sizes.select("key", blocks.alias("blocks")), "copy-sizes")
-    dealt = finer.join(broadcast_if_small(sizes), "key").withColumn("own", F.pmod(F.xxhash64("set"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(texts, "set")
+    blocks = F.ceil(F.count(F.lit(1)).over(Window.partitionBy("key")) / BLOCK).cast("int")
+    keys = finer.withColumn("blocks", blocks).groupBy("set").agg(F.collect_list(F.struct("key", "blocks")).alias("keys"))
+    keys = materialize(keys, "copy-set-keys")
+    sets = broadcast_if_small(keys.select(F.col("set").alias("__set")))
+    members = _texts(rows, sets, text_col).withColumnRenamed("__set", "set").join(broadcast_if_small(keys), "set").join(prints, "set")
+    members = materialize(members, "copy-members")
+    each = "transform(sequence(0, k.blocks - 1), o -> struct(k.key as key, cast(pmod(xxhash64(set), k.blocks) as int) as own, o as other))"
+    dealt = members.select("set", "root", "words", "t", F.explode(F.expr(f"flatten(transform(keys, k -> {each}))")).alias("e")).select("*", "e.*")
     block = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
     dealt = dealt.select(block.alias("block"), "key", "set", "root", "own", "other", "words", "t").repartition("block").sortWithinPartitions("block")
-    made += [texts, sizes]
+    made += [keys, members]
 
     def links(key, sets, roots, own, other, words, texts):
         alone = own[0] == other[0]
@@ -496,7 +499,7 @@ def copy_roots(rows: DataFrame, text_col: str = "text", max_key: int = MAX_COPY_
     prints = materialize(_prints(rows), "copy-prints")
     first = materialize(_near_in_keys(_keyed(prints.withColumn("root", F.col("set")), 0, PASS_KEYS), max_key, True), "copy-nearest")
     made += [prints, first]
-    roots = components(_verified(_near_prints(first.select("a", "b").distinct(), prints), rows, text_col, made))
+    roots = components(_verified(_near_prints(first.select("a", "b"), prints, made), rows, text_col, made))
     made.append(roots)
     now, found = _rooted(prints, roots, made), None
     for i in range(0, COPY_KEYS, PASS_KEYS):
@@ -504,7 +507,7 @@ def copy_roots(rows: DataFrame, text_col: str = "text", max_key: int = MAX_COPY_
         part = materialize(_near_in_keys(_keyed(now, i, i + PASS_KEYS), max_key, False), "copy-near")
         made.append(part)
         found = found.unionByName(part) if found else part
-    pairs = _near_prints(found.filter("members is null").select("a", "b").distinct(), prints)
+    pairs = _near_prints(found.filter("members is null").select("a", "b"), prints, made)
     crowded = materialize(found.filter("members is not null").select(F.col("a").alias("key"), F.explode("members").alias("set")), "copy-crowded")
     made.append(crowded)
     return _all_finer(crowded, roots, pairs, rows, text_col, max_key, made, now)
