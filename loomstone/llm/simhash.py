@@ -309,6 +309,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, text_col: str, made: list) -> D
     both = pairs.join(texts.select(F.col("__set").alias("a"), F.col("t").alias("s")), "a").join(texts.withColumnRenamed("__set", "b"), "b").select("a", "b", "s", "t")
 
     def run(batches):
+        release_model()
         for whole in batches:
             for batch in by_bytes(by_bytes([whole], 2), 3):
                 near = [_alike(x, y) for x, y in zip(gram_sets(batch.column(2)), gram_sets(batch.column(3)), strict=True)]
@@ -352,6 +353,7 @@ def _keyed(prints: DataFrame, first: int, last: int) -> DataFrame:
     """(key, set, root, f0, f1): the keys ``first`` to ``last`` of the fingerprints (set, root, words), by key."""
 
     def run(batches):
+        release_model()
         for batch in batches:
             words = _words(batch.column(2))
             keys = copy_keys(words, first, last)
@@ -404,6 +406,7 @@ def _near_in_keys(keyed: DataFrame, max_key: int, nearest: bool) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.r_[a, key[starts[many]]]), pa.array(np.r_[b, key[starts[many]]]), members], names=["a", "b", "members"])
 
     def run(batches):
+        release_model()
         for key, sets, roots, *words in _runs(batches, ["key", "set", "root", "f0", "f1"]):
             yield piece(key, sets, roots, np.stack(words, axis=1))
 
@@ -461,6 +464,7 @@ def _links_in_blocks(finer: DataFrame, prints: DataFrame, rows: DataFrame, text_
                 yield np.minimum(sets[y], sets[i]), np.maximum(sets[y], sets[i])
 
     def run(batches):
+        release_model()
         for block, *columns in _runs(batches, ["block", "key", "set", "root", "own", "other", "words", "t"], 1):
             cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True])
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
