@@ -21,9 +21,11 @@ The pipeline drops near copies (``drop_near_duplicates``): sets of 5-word shingl
 of 0.8 or more are linked. The candidates come the same way, at a wider radius: at 0.8 a bit differs with a
 probability of 0.152 at most, so fingerprints have ``COPY_WORDS`` times 64 bits.
 
-1. The distances to the pivots on four sixteenths of a word, taken from all words, make a key; there are
-   ``COPY_KEYS`` of them (``copy_keys``). A pair at 0.8 shares none in less than one of a thousand cases.
-2. Within a key, fingerprints are held against each other on two words, and pairs that are near there on
+1. The distances to the pivots on four sixteenths of a word make a key; there are ``COPY_KEYS`` of them
+   (``copy_keys``), in groups whose keys have two sixteenths in common and are all made from the same two words.
+   A fingerprint goes to a group's keys as one row, by these two sixteenths. A pair at 0.8 shares no key in less
+   than one of ten thousand cases.
+2. Within a key, fingerprints are held against each other on its two words, and pairs that are near there on
    all. Keys with over ``max_key`` near pairs a member are dealt into blocks with their texts, in which pairs
    whose distances to some of the block's own fingerprints, as pivots, differ by more than the radius are
    discarded and the others compared, each in the first key it shares (``_links_in_blocks``). A first round
@@ -60,10 +62,12 @@ QUARTERS = [0xFFFF << s for s in (0, 16, 32, 48)]
 #: Near copies that the pipeline drops: Jaccard similarity of the sets of shingles, words of a shingle.
 MIN_JACCARD = 0.8
 COPY_SHINGLE = 5
-#: Words of 64 bits of a fingerprint there, keys, sixteenths of words a key, keys of the first round and of each pass.
-COPY_WORDS, COPY_KEYS, KEY_PARTS, PASS_KEYS = 16, 128, 4, 32
-#: Words that go with a key, most bits in which they and whole fingerprints may differ: at 0.8 4.6 and 3.9 standard deviations above the mean.
-NEAR_WORDS, NEAR_BITS, COPY_BITS = 2, 38, 200
+#: Words of 64 bits of a fingerprint there, keys, keys of a group, sixteenths of words a key, keys of the first round and of each pass.
+COPY_WORDS, COPY_KEYS, GROUP_KEYS, KEY_PARTS, PASS_KEYS = 16, 168, 3, 4, 42
+#: Sixteenths that the keys of a group have in common.
+COMMON_PARTS = 2
+#: Words that a group's keys are made from, most bits in which they and whole fingerprints may differ: at 0.8 (and a key in common) 4.6 and 3.9 standard deviations above the mean.
+NEAR_WORDS, NEAR_BITS, COPY_BITS = 2, 34, 200
 #: The same in the first round, which need not find all.
 FIRST_BITS = 28
 #: Near pairs a member that a key may have before it is dealt into blocks, so that a key gives no more rows than twice its members.
@@ -246,30 +250,64 @@ def copy_print(grams: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > n, bitorder="little").view(np.int64)
 
 
-def _key_tables() -> tuple[np.ndarray, np.ndarray]:
-    """A hash of the distances to ``PIVOTS`` for each value of each sixteenth of a word, and the sixteenths (numbered over all words) of each key."""
+def _part_hashes() -> np.ndarray:
+    """A hash of the distances to ``PIVOTS`` for each value of each sixteenth of a word, the sixteenths numbered over all words."""
     pivots = np.array(_references(16), dtype=np.uint64)
-    parts = 16 * COPY_WORDS
-    hashes = np.empty((parts, 16), dtype=np.uint64)
+    hashes = np.empty((16 * COPY_WORDS, 16), dtype=np.uint64)
     for part in range(16):
         for value in range(16):
             d = [((value ^ (int(p) >> 4 * part)) & 0xF).bit_count() for p in pivots]
             hashes[part::16, value] = xxhash.xxh64_intdigest(bytes(d), part)
-    orders = [np.random.default_rng(SEED + i).permutation(parts) for i in range(-(-COPY_KEYS * KEY_PARTS // parts))]
-    return hashes, np.concatenate(orders)[: COPY_KEYS * KEY_PARTS].reshape(COPY_KEYS, KEY_PARTS)
+    return hashes
 
 
-_PART_HASHES, _KEY_PARTS = _key_tables()
+def _key_tables() -> tuple[np.ndarray, np.ndarray]:
+    """The words of each group of keys, and for each key its sixteenths, numbered over the group's words; the common ones come first."""
+    words, slots, own = [], [], KEY_PARTS - COMMON_PARTS
+    for group in range(COPY_KEYS // GROUP_KEYS):
+        rng, at = np.random.default_rng(SEED + group), group * NEAR_WORDS
+        order = np.random.default_rng(SEED + at // COPY_WORDS).permutation(COPY_WORDS)  # all words go equally often
+        words.append(order[at % COPY_WORDS : at % COPY_WORDS + NEAR_WORDS])
+        parts = rng.permutation(16 * NEAR_WORDS)
+        slots += [np.r_[parts[:COMMON_PARTS], parts[COMMON_PARTS + own * k :][:own]] for k in range(GROUP_KEYS)]
+    return np.stack(words), np.stack(slots)
+
+
+_PART_HASHES = _part_hashes()
+#: The rank of these hashes among those of the sixteenth.
+_PART_RANKS = _PART_HASHES.argsort(axis=1).argsort(axis=1)
+_GROUP_WORDS, _KEY_SLOTS = _key_tables()
+#: The sixteenths of each key, numbered over all words.
+_KEY_PARTS = 16 * np.take_along_axis(np.repeat(_GROUP_WORDS, GROUP_KEYS, axis=0), _KEY_SLOTS // 16, axis=1) + _KEY_SLOTS % 16
+
+
+def _sixteenths(words: np.ndarray) -> np.ndarray:
+    """The values of the sixteenths of rows of words."""
+    halves = np.ascontiguousarray(words).view(np.uint8).reshape(len(words), -1)
+    return np.stack([halves & 15, halves >> 4], axis=2).reshape(len(words), -1)
+
+
+def copy_keys(words: np.ndarray, first: int = 0, last: int = COPY_KEYS, at: np.ndarray = _KEY_PARTS) -> np.ndarray:
+    """The keys ``first`` to ``last`` of fingerprints (rows of words): hashes of the distances to the pivots on the parts of each key, which are ``at`` these sixteenths of the rows."""
+    values = _sixteenths(words)
+    keys = np.broadcast_to(np.arange(first + 1, last + 1, dtype=np.uint64), (len(words), last - first))
+    for parts, slots in zip(_KEY_PARTS[first:last].T, at[first:last].T, strict=True):
+        keys = tv.mix(keys * np.uint64(0x9E3779B97F4A7C15) + _PART_HASHES[parts[None, :], values[:, slots]])
+    return keys.view(np.int64)
 
 
-def copy_keys(prints: np.ndarray, first: int = 0, last: int = COPY_KEYS) -> np.ndarray:
-    """The keys ``first`` to ``last`` of fingerprints (rows of words): hashes of the distances to the pivots on the parts of each key."""
-    halves = np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1)
-    values = np.stack([halves & 15, halves >> 4], axis=2).reshape(len(prints), -1)
-    keys = np.broadcast_to(np.arange(first + 1, last + 1, dtype=np.uint64), (len(prints), last - first))
-    for parts in _KEY_PARTS[first:last].T:
-        keys = tv.mix(keys * np.uint64(0x9E3779B97F4A7C15) + _PART_HASHES[parts[None, :], values[:, parts]])
-    return keys.view(np.int64)
+def _group_places(words: np.ndarray, groups: np.ndarray) -> np.ndarray:
+    """For each of ``groups``: its number and the ranks of the distances on the sixteenths that its keys have in common."""
+    values = _sixteenths(words)
+    out = np.broadcast_to(groups, (len(words), len(groups)))
+    for parts in _KEY_PARTS[groups * GROUP_KEYS, :COMMON_PARTS].T:
+        out = 16 * out + _PART_RANKS[parts[None, :], values[:, parts]]
+    return out
+
+
+def _keys_of_group(words: np.ndarray, group: int) -> np.ndarray:
+    """The keys of a group, from its words alone."""
+    return copy_keys(words, group * GROUP_KEYS, (group + 1) * GROUP_KEYS, _KEY_SLOTS)
 
 
 def with_bands(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -350,18 +388,20 @@ def _differ(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _keyed(prints: DataFrame, first: int, last: int) -> DataFrame:
-    """(key, set, root, f0, f1): the keys ``first`` to ``last`` of the fingerprints (set, root, words), by key."""
+    """(place, set, root, f0, f1): a row for each group of the keys ``first`` to ``last`` of the fingerprints (set, root, words), with the group's words, by the place in it."""
+    groups = np.arange(first // GROUP_KEYS, -(-last // GROUP_KEYS))
 
     def run(batches):
         release_model()
         for batch in batches:
             words = _words(batch.column(2))
-            keys = copy_keys(words, first, last)
-            each = lambda x: pa.array(np.repeat(x, last - first))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(each(x.to_numpy()) for x in batch.columns[:2]), *(each(words[:, i]) for i in range(NEAR_WORDS))], names=["key", "set", "root", "f0", "f1"])
+            places = _group_places(words, groups)
+            each = lambda x: pa.array(np.repeat(x, len(groups)))
+            near = (pa.array(words[:, _GROUP_WORDS[groups, i]].ravel()) for i in range(NEAR_WORDS))
+            yield pa.RecordBatch.from_arrays([pa.array(places.ravel()), *(each(x.to_numpy()) for x in batch.columns[:2]), *near], names=["place", "set", "root", "f0", "f1"])
 
     small_batches(prints.sparkSession)
-    return prints.select("set", "root", "words").mapInArrow(run, "key long, set long, root long, f0 long, f1 long").repartition("key").sortWithinPartitions("key")
+    return prints.select("set", "root", "words").mapInArrow(run, "place long, set long, root long, f0 long, f1 long").repartition("place").sortWithinPartitions("place")
 
 
 def _near_in_keys(keyed: DataFrame, max_key: int, nearest: bool) -> DataFrame:
@@ -371,6 +411,8 @@ def _near_in_keys(keyed: DataFrame, max_key: int, nearest: bool) -> DataFrame:
     """
 
     def piece(key, sets, roots, words):
+        order = np.argsort(key, kind="stable")
+        key, sets, roots, words = key[order], sets[order], roots[order], words[order]
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         if nearest:  # cut long runs
             at = np.arange(len(key)) - np.repeat(starts, np.diff(np.r_[starts, len(key)]))
@@ -407,8 +449,12 @@ def _near_in_keys(keyed: DataFrame, max_key: int, nearest: bool) -> DataFrame:
 
     def run(batches):
         release_model()
-        for key, sets, roots, *words in _runs(batches, ["key", "set", "root", "f0", "f1"]):
-            yield piece(key, sets, roots, np.stack(words, axis=1))
+        for place, sets, roots, *words in _runs(batches, ["place", "set", "root", "f0", "f1"]):
+            words, group_of = np.stack(words, axis=1), place >> 4 * COMMON_PARTS
+            cuts = np.flatnonzero(np.r_[True, group_of[1:] != group_of[:-1], True])
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                for key in _keys_of_group(words[x:y], int(group_of[x])).T:
+                    yield piece(key, sets[x:y], roots[x:y], words[x:y])
 
     return keyed.mapInArrow(run, "a long, b long, members array<long>")
 

@@ -306,6 +306,27 @@ def test_copies_are_found_by_fingerprints_and_pivots():
     assert all(np.bitwise_count((prints[i] ^ prints[j]).view(np.uint64)).sum() <= simhash.COPY_BITS for i, j in near)
 
 
+def test_copies_go_to_their_keys_in_few_rows(spark):
+    """A row for a group of keys, not for each key: fingerprints that share a key meet, and each key comes from the row alone."""
+    import numpy as np
+
+    words = np.random.default_rng(5).integers(-(1 << 63), 1 << 63, (300, simhash.COPY_WORDS), dtype=np.int64)
+    words[200:] = words[100:200]
+    words[200:, :5] = words[:100, :5]
+    prints = spark.createDataFrame([(i, i, w) for i, w in enumerate(words.tolist())], "set long, root long, words array<long>")
+    rows = simhash._keyed(prints, 0, simhash.COPY_KEYS).collect()
+    assert len(rows) <= len(words) * simhash.COPY_KEYS / 3
+    keys, at = simhash.copy_keys(words), defaultdict(set)
+    for r in rows:
+        group = r.place >> 8
+        own = simhash._keys_of_group(np.array([[r.f0, r.f1]]), group)[0]
+        assert (own == keys[r.set, 3 * group : 3 * group + 3]).all()
+        at[r.place].add(r.set)
+    shared = [(k, i, j) for k in range(simhash.COPY_KEYS) for i, j in zip(range(100, 200), range(200, 300), strict=True) if keys[i, k] == keys[j, k]]
+    met = {(place >> 8, i, i + 100) for place, sets in at.items() for i in sets if i + 100 in sets}
+    assert len(shared) > 3000 and all((k // 3, i, j) in met for k, i, j in shared)
+
+
 @pytest.mark.parametrize("block", [1024, 16])
 def test_crowded_keys_give_links_only(spark, monkeypatch, block):
     """A group of copies that are near but mostly not linked: keys give a row a member at most, blocks their links, each once."""
