@@ -70,3 +70,22 @@ def test_refused(dialect, sql):
 def test_error_functions(spark):
     with pytest.raises(Exception, match="SQRT"):
         spark.sql(translate("SELECT SQRT(-1) AS x")).collect()
+
+
+FIRST = [
+    ("tsql", "SELECT c.crate, x.m FROM crates c CROSS APPLY (SELECT TOP 1 o.mark AS m FROM crates o WHERE o.aisle = c.aisle ORDER BY o.kilos DESC, o.crate) x", [(11, "yew"), (12, "elm"), (13, "yew"), (14, "elm"), (15, "yew")]),
+    ("tsql", "SELECT c.crate, x.w FROM crates c CROSS APPLY (SELECT o.kilos * 2 AS w FROM crates o WHERE o.aisle = c.aisle ORDER BY w DESC OFFSET 1 ROWS FETCH NEXT 1 ROWS ONLY) x", [(11, 12.5), (12, 3.5), (13, 12.5), (14, 3.5), (15, 12.5)]),
+    ("tsql", "SELECT c.crate, (SELECT TOP 1 o.mark FROM crates o WHERE o.aisle = c.aisle ORDER BY o.kilos) AS m FROM crates c", [(11, "ash"), (12, "fir"), (13, "ash"), (14, "fir"), (15, "ash")]),
+    ("postgres", "SELECT c.crate, x.aisle FROM crates c JOIN LATERAL (SELECT o.aisle, SUM(o.kilos) FROM crates o WHERE o.crate <= c.crate GROUP BY o.aisle ORDER BY 2 DESC LIMIT 1) x ON TRUE", [(11, "north"), (12, "south"), (13, "north"), (14, "north"), (15, "north")]),
+    ("postgres", "SELECT c.crate, x.aisle FROM crates c JOIN LATERAL (SELECT o.aisle, SUM(o.kilos) AS s FROM crates o WHERE o.crate <= c.crate GROUP BY o.aisle ORDER BY 2 DESC LIMIT 1) x ON TRUE", [(11, "north"), (12, "south"), (13, "north"), (14, "north"), (15, "north")]),
+    ("mysql", "SELECT c.crate, x.aisle FROM crates c JOIN LATERAL (SELECT DISTINCT o.aisle FROM crates o WHERE o.crate <= c.crate ORDER BY o.aisle DESC LIMIT 1) x ON TRUE", [(11, "north"), (12, "south"), (13, "south"), (14, "south"), (15, "south")]),
+]
+
+
+@pytest.mark.parametrize(("dialect", "sql", "want"), FIRST)
+def test_first_rows_of_a_correlated_query_keep_their_order(spark, dialect, sql, want):
+    df = spark.sql(translate(sql, dialect))
+    assert sorted(tuple(r) for r in df.collect()) == want
+    windows = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [row_number()" in x]
+    assert windows
+    assert all(" ASC" in x or " DESC" in x for x in windows), "the rows of a group are numbered in no order"
