@@ -102,24 +102,31 @@ def nearest(df: DataFrame, vector: str, query: Sequence[float], k: int, metric:
     return df.withColumn("score", fn.call(f"vector_{metric}", vector, literal)).orderBy(best, *[c for c in df.columns if c != vector][:1]).limit(k)
 
 
-def nearest_each(df: DataFrame, id_col: str, vector: str, queries: DataFrame, k: int, metric: str = "cosine_similarity", block: int = 1000) -> DataFrame:
+def nearest_each(df: DataFrame, id_col: str, vector: str, queries: DataFrame, k: int, metric: str = "cosine_similarity", block: int = 1 << 21) -> DataFrame:
     """The k best rows (``id_col``, ``score``, ``rank``) for each of the query rows (``query_id``, ``query``).
 
-    Queries are broadcast in blocks of about ``block`` and held against all rows; each task keeps its k best
-    rows a query, so that only those are shuffled.
+    Rows and queries are dealt into blocks of about ``block`` numbers each; a task holds one block of rows against
+    one of queries and keeps the k best rows a query, so that only those are shuffled. A vector of length 0 has no
+    direction: its cosine is NaN, which comes before all numbers, as in SQL.
     """
-    from .. import functions as fn
-
-    blocks = -(-queries.count() // block)
-    order = F.col("score").asc() if "distance" in metric else F.col("score").desc()
-    ranked = Window.partitionBy("query_id").orderBy(order, id_col)
-    out = None
-    for i in range(max(blocks, 1)):
-        part = queries if blocks < 2 else queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        scored = df.select(id_col, vector).crossJoin(F.broadcast(part.select("query_id", "query"))).select("query_id", id_col, fn.call(f"vector_{metric}", vector, "query").alias("score"))
-        best = scored.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    from .nearest import METRICS, best
+
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric}")
+    rows, width = df.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
+    side = max(1, block // max(width or 1, 1))
+    # small tables too are dealt to several tasks
+    cells, parts = max(-(-rows // side), min(24, -(-rows // 1024)), 1), max(-(-queries.count() // side), 1)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    of = lambda n, *cols: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
+    table = df.select(F.col(id_col).alias("id"), F.col(vector).alias("vector")).withColumn("cell", of(cells, "id", "vector")).withColumn("part", every(parts))
+    asked = queries.select("query_id", "query").withColumn("part", of(parts, "query_id", "query")).withColumn("cell", every(cells))
+    kinds = [f"query_id {queries.schema['query_id'].dataType.simpleString()}", f"id {df.schema[id_col].dataType.simpleString()}", "score double"]
+    pairs = table.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part"))
+    found = pairs.applyInArrow(lambda t, q: best(t, q, k, metric), ", ".join(kinds))
+    order = F.col("score").asc_nulls_last() if "distance" in metric else F.col("score").desc_nulls_last()
+    ranked = Window.partitionBy("query_id").orderBy(order, "id")
+    return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).withColumnRenamed("id", id_col)
 
 
 def graph_match(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,4 +1,8 @@
+import math
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from loomstone.operators import mutations, relational, sharding
 from loomstone.plans.lexer import DialectError
@@ -79,3 +83,51 @@ def test_hierarchy(spark):
 def test_nearest(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0])], "id long, e array<double>")
     assert [r.id for r in relational.nearest(v, "e", [1.0, 0.1], 2).collect()] == [1, 3]
+
+
+def plain_nearest(rows, queries, k, metric):
+    """(query_id, id, score, rank) by plain loops; nulls last, NaN above all numbers."""
+    out = []
+    for qid, q in queries:
+        scored = []
+        for i, v in rows:
+            s = None
+            if v and q and len(v) == len(q):
+                dot, vv, qq = (sum_in_order(a, b) for a, b in ((v, q), (v, v), (q, q)))
+                cosine = max(-1.0, min(1.0, dot / math.sqrt(vv * qq))) if vv * qq else math.nan
+                s = {"cosine_similarity": cosine, "cosine_distance": 1 - cosine, "dot_product": dot, "l2_distance": math.sqrt(sum_in_order([x - y for x, y in zip(v, q)], [x - y for x, y in zip(v, q)]))}[metric]
+            high = "distance" not in metric
+            scored.append((s is None, (not math.isnan(s)) == high if s is not None else 0, 0 if s is None or math.isnan(s) else -s if high else s, i, s))
+        out += [(qid, r[3], repr(r[4]), n) for n, r in enumerate(sorted(scored, key=lambda r: r[:4])[:k], 1)]
+    return sorted(out)
+
+
+def sum_in_order(a, b):
+    s = 0.0
+    for x, y in zip(a, b, strict=True):
+        s += x * y
+    return s
+
+
+@pytest.mark.parametrize("metric", ["cosine_similarity", "cosine_distance", "dot_product", "l2_distance"])
+def test_nearest_each_is_exact_over_blocks(spark, metric):
+    rng = random.Random(5)
+    some = [[float(rng.randint(-3, 3)) for _ in range(3)] for _ in range(25)]
+    # many copies, multiples of a vector, a vector of length 0, other dimensions and nulls
+    rows = [(i, rng.choice(some)) for i in range(400)] + [(400 + i, [x * m for x in some[0]]) for i, m in enumerate((3.0, 7.0, 0.1))]
+    rows += [(500, [0.0, 0.0, 0.0]), (501, None), (502, []), (503, [1.0]), (504, [1.0, 2.0])]
+    asked = [(i, rng.choice(some)) for i in range(12)] + [(20, [0.1, 0.7, -0.3]), (21, None), (22, [2.0]), (23, [0.0, 0.0, 0.0])]
+    df, queries = spark.createDataFrame(rows, "id long, v array<double>"), spark.createDataFrame(asked, "query_id long, query array<double>")
+    out = relational.nearest_each(df, "id", "v", queries, 6, metric, block=30)
+    got = sorted((r.query_id, r.id, repr(r.score), r.rank) for r in out.collect())
+    assert got == plain_nearest(rows, asked, 6, metric)
+
+
+def test_nearest_each_discards_by_matrix_products(spark):
+    df = spark.range(500).select("id", F.array(*(F.sin(F.col("id") * (j + 1)) for j in range(8))).alias("v"))
+    queries = df.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("query"))
+    out = relational.nearest_each(df, "id", "v", queries, 3)
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 15
+    assert relational.nearest_each(df, "id", "v", queries.limit(0), 3).count() == 0
+    assert relational.nearest_each(df.limit(0), "id", "v", queries, 3).count() == 0
