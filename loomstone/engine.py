@@ -129,7 +129,7 @@ class Engine:
         """One query of a dialect; parameters are Python values by name (``@x``, ``:x``)."""
         values = {k: script.literal(v) for k, v in (params or {}).items()}
         text = self._catalog(text)
-        return self.spark.sql(dialect.translate(text, dialect_name or self.default_dialect, values))
+        return dialect.select(self.spark, text, dialect_name or self.default_dialect, values)
 
     def query(self, text: str, dialect_name: str | None = None, params: dict | None = None, max_rows: int = 10_000) -> list[dict]:
         """The rows of one query; too many raise instead of being cut."""

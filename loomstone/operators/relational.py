@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of one group that a task ranks by itself, and keys that are broadcast.
+RANKED_AT_ONCE, KEYS_TO_ALL = 250_000, 100_000
+
+
 class ResultTooLarge(ValueError):
     """A result has more rows than its reader allows; it is never cut."""
 
@@ -129,6 +136,109 @@ def nearest_each(df: DataFrame, id_col: str, vector: str, queries: DataFrame, k:
     return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).withColumnRenamed("id", id_col)
 
 
+class Ranking(NamedTuple):
+    """A ranking function over a window: ROW_NUMBER, RANK, DENSE_RANK or NTILE (of ``tiles``), by and of columns.
+
+    ``order`` has (column, descending, nulls first or None for the usual place).
+    """
+
+    name: str
+    function: str
+    by: tuple[str, ...]
+    order: tuple[tuple[str, bool, bool | None], ...]
+    tiles: str = ""
+
+
+def _sorting(order: Sequence[tuple[str, bool, bool | None]]) -> list[Column]:
+    names = {(False, None): "asc", (False, True): "asc_nulls_first", (False, False): "asc_nulls_last", (True, None): "desc", (True, True): "desc_nulls_first", (True, False): "desc_nulls_last"}
+    return [getattr(F.col(c), names[desc, nulls])() for c, desc, nulls in order]
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the session's checkpoint folder; where it names none, in a temporary one."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomstone-"))
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def ranked(df: DataFrame, rankings: Sequence[Ranking], most: int = RANKED_AT_ONCE) -> DataFrame:
+    """The rows with a column for each ranking; no task ranks more than about ``most`` rows of a group.
+
+    Windows of small groups are Spark's. For those of larger ones the distinct keys are counted and dealt by ranges,
+    a key's rank is its place in its range and what the ranges before it hold, and rows find theirs by a join.
+    """
+    largest = {by: df.groupBy(*[F.pmod(F.xxhash64(*by), F.lit(1 << 16))][: len(by)]).count().agg(F.max("count")).first()[0] or 0 for by in {r.by for r in rankings}}
+    large: dict[tuple, list[Ranking]] = {}
+    for r in rankings:
+        if largest[r.by] > most:
+            large.setdefault((r.by, r.order), []).append(r)
+        else:
+            function = {"ROW_NUMBER": F.row_number, "RANK": F.rank, "DENSE_RANK": F.dense_rank}.get(r.function) or (lambda n=r.tiles: F.ntile(int(n)))
+            df = df.withColumn(r.name, function().over(Window.partitionBy(*r.by).orderBy(*_sorting(r.order))))
+    plain = [c for c in df.columns if c not in {r.name for r in rankings}]
+    for (by, order), of in large.items():
+        df = _ranked_by_ranges(df, by, order, of, most, plain)
+    return df
+
+
+def _ranked_by_ranges(df: DataFrame, by: tuple, order: tuple, rankings: list[Ranking], most: int, plain: list[str]) -> DataFrame:
+    numbered = any(r.function in ("ROW_NUMBER", "NTILE") for r in rankings)
+    spark, ties, keep = df.sparkSession, 1, df.columns
+    while True:
+        keys = list(dict.fromkeys([*by, *(c for c, _, _ in order)]))
+        rows, kinds = df.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*keys))).first()
+        parts = -(-rows // most)
+        # many keys are dealt out first: their counts would fill the memory of a task that reads
+        counts = (df.select(*keys) if kinds <= KEYS_TO_ALL else df.select(*keys).repartition(parts, *keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+        path = shared_path(spark, "ranks")
+        counts.repartitionByRange(parts, *by, *_sorting(order)).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+        dealt = spark.read.parquet(path)
+        found, ties = dealt.agg(F.count(F.lit(1)), F.max("__n")).first()
+        if not numbered or ties <= most or order[-1][0] == "__tie":
+            break
+        # rows that the order leaves equal are told apart by a hash
+        df, order = df.withColumn("__tie", F.xxhash64(*plain)), (*order, ("__tie", False, None))
+        rankings, apart = [r for r in rankings if r.function in ("ROW_NUMBER", "NTILE")], [r for r in rankings if r.function in ("RANK", "DENSE_RANK")]
+        if apart:
+            df, keep = _ranked_by_ranges(df, by, order[:-1], apart, most, plain), [*keep, *(r.name for r in apart)]
+    local = Window.partitionBy("__part", *by).orderBy(*_sorting(order))
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    inner = dealt.withColumn("__before", F.sum("__n").over(local.rowsBetween(*so_far)) - F.col("__n")).withColumn("__peer", F.row_number().over(local))
+    ranges = Window.partitionBy(*by)
+    total = dealt.groupBy("__part", *by).agg(F.sum("__n").alias("__rows"), F.count(F.lit(1)).alias("__peers"))
+    total = total.select(
+        F.col("__part").alias("__at"),
+        *(F.col(c).alias(f"__b{i}") for i, c in enumerate(by)),
+        *((F.sum(c).over(ranges.orderBy("__part").rowsBetween(*so_far)) - F.col(c)).alias(n) for c, n in (("__rows", "__rows_before"), ("__peers", "__peers_before"))),
+        F.sum("__rows").over(ranges).alias("__all"),
+    )
+    same = F.col("__part") == F.col("__at")
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"__b{i}"))
+    places = inner.join(total, same).select(*(F.col(c).alias(f"__k{i}") for i, c in enumerate(keys)), (F.col("__before") + F.col("__rows_before") + 1).alias("__rank"), (F.col("__peer") + F.col("__peers_before")).alias("__dense"), "__all")
+    places = F.broadcast(places) if found <= KEYS_TO_ALL else places
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same &= F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    out = df.join(places, same, "left")
+    at = F.col("__rank")
+    if numbered and ties > 1:
+        at += F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))) - 1
+    for r in rankings:
+        value = at
+        if r.function == "RANK":
+            value = F.col("__rank")
+        elif r.function == "DENSE_RANK":
+            value = F.col("__dense")
+        elif r.function == "NTILE":
+            n, each = F.lit(int(r.tiles)), F.floor(F.col("__all") / F.lit(int(r.tiles)))
+            more = F.col("__all") % n
+            wide = more * (each + 1)
+            value = F.when(at <= wide, F.floor((at - 1) / (each + 1))).otherwise(more + F.floor((at - 1 - wide) / each)) + 1
+        out = out.withColumn(r.name, value.cast("int"))
+    return out.select(*keep, *(r.name for r in rankings))
+
+
 def graph_match(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Rows (a, e, b) of a one-edge pattern: node a, edge e (from_id, to_id), node b."""
     a, e, b = nodes.alias("a"), edges.alias("e"), nodes.alias("b")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import functions as fn
 from .engine import Engine
 from .operators import mutations, relational, sharding
-from .plans.dialect import translate
+from .plans.dialect import select
 from .sources import files
 from .streaming import changes, windows
 
@@ -45,7 +45,7 @@ def text(name: str, sql: str, oracle: str | None = None, dialect: str = "tsql",
                 _read(spark, sf_dir, t).createOrReplaceTempView(t)
         if udfs:
             fn.register(spark)
-        return spark.sql(translate(sql, dialect))
+        return select(spark, sql, dialect)
 
     QUERIES[name] = run
     ORACLE_SQL[name] = oracle or sql

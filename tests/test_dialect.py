@@ -3,7 +3,7 @@ import statistics
 import pytest
 
 import loomstone.functions as fn
-from loomstone.plans.dialect import translate
+from loomstone.plans.dialect import select, translate
 from loomstone.plans.lexer import DialectError
 
 #: crate, aisle, kilos, mark
@@ -89,3 +89,29 @@ def test_first_rows_of_a_correlated_query_keep_their_order(spark, dialect, sql,
     windows = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [row_number()" in x]
     assert windows
     assert all(" ASC" in x or " DESC" in x for x in windows), "the rows of a group are numbered in no order"
+
+
+RANKINGS = [
+    "SELECT id, ROW_NUMBER() OVER (PARTITION BY three ORDER BY seven DESC, id) AS a, RANK() OVER (ORDER BY seven) AS b, DENSE_RANK() OVER (ORDER BY seven) AS c, NTILE(4) OVER (PARTITION BY three ORDER BY id) AS d FROM ranks",
+    "SELECT RANK() OVER (PARTITION BY three ORDER BY seven + 1 DESC) AS b, r.*, NTILE(7) OVER (ORDER BY r.id) AS d FROM ranks r WHERE id > 3",
+    "SELECT seven AS x, ROW_NUMBER() OVER (ORDER BY id DESC) AS id FROM ranks",
+]
+
+
+@pytest.mark.parametrize("sql", RANKINGS)
+def test_rankings_of_large_groups_are_spread(spark, sql):
+    spark.range(1000).selectExpr("id", "if(id % 50 = 7, null, id % 3) AS three", "if(id % 40 = 9, null, id * id % 7) AS seven").createOrReplaceTempView("ranks")
+    got, want = select(spark, sql, "tsql", most=60), spark.sql(translate(sql))
+    assert got.dtypes == want.dtypes
+    assert sorted(got.collect(), key=repr) == sorted(want.collect(), key=repr)
+    if "PARTITION BY three ORDER BY id" in sql:
+        # no exchange brings all rows to one task, and none deals by the few groups
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Window [ntile" not in plan and "Window [rank" not in plan
+
+
+def test_row_numbers_of_ties_are_spread(spark):
+    spark.range(2000).selectExpr("id", "id % 2 AS two").createOrReplaceTempView("ranks")
+    rows = select(spark, "SELECT id, two, ROW_NUMBER() OVER (ORDER BY two) AS a, RANK() OVER (ORDER BY two) AS b, NTILE(10) OVER (ORDER BY two) AS c FROM ranks", "tsql", most=100).collect()
+    assert sorted(r.a for r in rows) == list(range(1, 2001))
+    assert all(r.b == 1 + 1000 * r.two and (r.a > 1000) == r.two and r.c == (r.a - 1) // 200 + 1 for r in rows)
